@@ -14,13 +14,23 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tradewind.functions.durable import durable
+from tradewind.functions.reshape import with_row
 
 EDGES = 256
+BLOCK = 16
 
 
-def slice_of(key: Column, edges: Column) -> Column:
-    """Number of edges below `key`."""
-    return F.size(F.filter(edges, lambda edge: edge < key))
+def edge_columns(keys: Column) -> list[Column]:
+    """Sorted edges, and every `BLOCK`-th of them for a two-step search."""
+    edges = F.sort_array(keys)
+    return [edges.alias("_edges"), F.filter(edges, lambda _, i: (i + 1) % BLOCK == 0).alias("_blocks")]
+
+
+def slice_of(key: Column) -> Column:
+    """Number of edges below `key`: whole blocks first, then the edges of the next block."""
+    blocks = F.size(F.filter("_blocks", lambda edge: edge < key))
+    inside = F.slice("_edges", blocks * BLOCK + 1, F.lit(BLOCK))
+    return blocks * BLOCK + F.size(F.filter(inside, lambda edge: edge < key))
 
 
 def sampled_keys(df: DataFrame, groups: Sequence[str], key: str, seed: Column, size: int = EDGES) -> DataFrame:
@@ -43,12 +53,13 @@ def order_statistics(
     edges = (
         sampled_keys(values, [group], key, F.col(key))
         .groupBy(group)
-        .agg(F.sort_array(F.collect_set(key)).alias("_edges"))
+        .agg(F.collect_set(key).alias("_keys"))
+        .select(group, *edge_columns(F.col("_keys")))
     )
     sliced = (
         values.join(F.broadcast(edges), group)  # one row of at most EDGES keys per group
-        .withColumn("_slice", slice_of(F.col(key), F.col("_edges")))
-        .drop("_edges")
+        .withColumn("_slice", slice_of(F.col(key)))
+        .drop("_edges", "_blocks")
     )
 
     # At most EDGES + 1 rows per group from here on.
@@ -134,19 +145,18 @@ def quintiles(df: DataFrame, identity: str, metrics: Sequence[str], buckets: int
     ranks = {str(k): F.floor(F.col("n") * k / buckets) for k in range(1, buckets)}
     cuts = (
         order_statistics(elements, ranks)
-        .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "series", "label"), "key"))).alias("m"))
-        .scalar()
+        .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "series", "label"), "key"))).alias("at"))
     )
 
     def quintile(metric: str) -> Column:
         """One more than the number of cuts below the row; a cut at rank 0 does not exist and is below all rows."""
         out = F.lit(1)
         for k in range(1, buckets):
-            cut = F.try_element_at(cuts, F.lit(f"{metric}|{k}"))
+            cut = F.try_element_at("_cuts.at", F.lit(f"{metric}|{k}"))
             out = out + F.coalesce((cut < element(metric)).cast("int"), F.lit(1))
         return out
 
-    return df.withColumns({f"{m}_quintile": quintile(m) for m in metrics})
+    return with_row(df, cuts, "_cuts").withColumns({f"{m}_quintile": quintile(m) for m in metrics}).drop("_cuts")
 
 
 def split_long_groups(df: DataFrame, group: str, key: str, seed: str, size: int = EDGES) -> DataFrame:
@@ -160,11 +170,12 @@ def split_long_groups(df: DataFrame, group: str, key: str, seed: str, size: int
         hashed.orderBy("_hash", key)
         .limit(size)
         .groupBy(group)
-        .agg(F.sort_array(F.collect_set(key)).alias("_edges"))
-        .where(F.size("_edges") > 1)
+        .agg(F.collect_set(key).alias("_keys"))
+        .where(F.size("_keys") > 1)
+        .select(group, *edge_columns(F.col("_keys")))
     )
     return (
         df.join(F.broadcast(edges), group, "left")
-        .withColumn("_slice", F.coalesce(slice_of(F.col(key), F.col("_edges")), F.lit(0)))
-        .drop("_edges")
+        .withColumn("_slice", F.when(F.col("_edges").isNull(), 0).otherwise(slice_of(F.col(key))))
+        .drop("_edges", "_blocks")
     )

@@ -1,10 +1,20 @@
-"""Turning one wide row into rows."""
+"""Attaching one row to many, and turning one wide row into rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+
+
+def all_groups() -> WindowSpec:
+    """Window over all rows, for frames already aggregated to years, categories, centers or other catalog groups."""
+    return Window.partitionBy()
+
+
+def with_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
+    """Adds the one-row frame `row` as a struct column: a scalar subquery that runs once, however often it is used."""
+    return df.withColumn(name, row.select(F.struct("*")).scalar())
 
 
 def to_metrics(row: DataFrame, metrics: Sequence[tuple[str, Column, str]]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tradewind.functions.bands import first_match
 from tradewind.functions.numeric import percent, ratio, round_even, total
+from tradewind.functions.reshape import all_groups
 
 
 def basket_affinity(fact: DataFrame, dim_products: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def basket_affinity(fact: DataFrame, dim_products: DataFrame) -> DataFrame:
     pairs = (
         counted.withColumn("category_a_orders", F.max(alone).over(Window.partitionBy("category_a")))
         .withColumn("category_b_orders", F.max(alone).over(Window.partitionBy("category_b")))
-        .withColumn("_total", F.max(overall).over(Window.partitionBy()))
+        .withColumn("_total", F.max(overall).over(all_groups()))
         .where(F.col("category_a") < F.col("category_b"))
     )
     actual = ratio("orders_with_pair", "_total")

@@ -8,12 +8,13 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tradewind.functions.bands import first_match
 from tradewind.functions.durable import durable
 from tradewind.functions.numeric import mean
 from tradewind.functions.ranking import percentile_of
+from tradewind.functions.reshape import with_row
 from tradewind.params import NO_PURCHASE_SEGMENT
 
 CLUSTER_FEATURES = ("Recency", "Monetary", "aov", "category_diversity", "return_rate_pct")
@@ -63,21 +64,21 @@ def enriched_rfm(fact: DataFrame, dim_users: DataFrame, dim_products: DataFrame)
 def rule_clusters(enriched: DataFrame) -> DataFrame:
     """Clusters by ordered rules with the top tenth and quarter of all users' value; ids follow the names' order."""
     enriched = durable(enriched)
-    cuts = percentile_of(enriched, "Monetary", {"q90": 0.9, "q75": 0.75}).select(F.struct("q90", "q75")).scalar()
+    cuts = percentile_of(enriched, "Monetary", {"q90": 0.9, "q75": 0.75})
     recency, frequency, value = F.col("Recency"), F.col("Frequency"), F.col("Monetary")
     # Rules and names.
     label = first_match(
         [
             (frequency == 0, "No Valid Purchase"),
-            ((frequency >= 3) & (value >= cuts["q90"]), "High-Value Loyal"),
+            ((frequency >= 3) & (value >= F.col("_cuts.q90")), "High-Value Loyal"),
             ((frequency >= 2) & (recency <= 180), "Selective Buyers"),
-            ((value >= cuts["q75"]) & (recency > 365), "At-Risk High Value"),
+            ((value >= F.col("_cuts.q75")) & (recency > 365), "At-Risk High Value"),
             (recency > 730, "Low-Value Browsers"),
             (frequency == 1, "Occasional Spenders"),
         ],
         "Recent But Inactive",
     )
-    labelled = enriched.withColumn("cluster_label", label)
+    labelled = with_row(enriched, cuts, "_cuts").withColumn("cluster_label", label).drop("_cuts")
     names = labelled.agg(F.sort_array(F.collect_set("cluster_label")).alias("names")).scalar()  # seven at most
     return labelled.withColumn("cluster", (F.array_position(names, F.col("cluster_label")) - 1).cast("int"))
 
@@ -89,16 +90,14 @@ def cluster_profile(clustered: DataFrame) -> DataFrame:
 def standardize(enriched: DataFrame, features: Sequence[str] = CLUSTER_FEATURES) -> DataFrame:
     """Adds the vector of features with mean 0 and population deviation 1; a constant feature is only centred."""
     stats = enriched.agg(
-        F.struct(
-            *[F.avg(c).alias(f"{c}_mean") for c in features], *[F.stddev_pop(c).alias(f"{c}_sd") for c in features]
-        ).alias("s")
-    ).scalar()
-    scaled = enriched.withColumns(
-        {
-            f"_{c}": (F.col(c) - stats[f"{c}_mean"]) / F.when(stats[f"{c}_sd"] == 0, 1.0).otherwise(stats[f"{c}_sd"])
-            for c in features
-        }
+        *[F.avg(c).alias(f"{c}_mean") for c in features], *[F.stddev_pop(c).alias(f"{c}_sd") for c in features]
     )
+
+    def centred(c: str) -> Column:
+        deviation = F.col(f"_stats.{c}_sd")
+        return (F.col(c) - F.col(f"_stats.{c}_mean")) / F.when(deviation == 0, 1.0).otherwise(deviation)
+
+    scaled = with_row(enriched, stats, "_stats").withColumns({f"_{c}": centred(c) for c in features}).drop("_stats")
     assembler = VectorAssembler(inputCols=[f"_{c}" for c in features], outputCol="scaled")
     return assembler.transform(scaled).drop(*[f"_{c}" for c in features])
 

@@ -12,7 +12,7 @@ from tradewind.functions.numeric import (
     flag_total, mean, mean_if, percent, ratio, ratio0, round_even, total, total_if,
 )
 from tradewind.functions.ranking import percentile_of, quintiles
-from tradewind.functions.reshape import to_metrics
+from tradewind.functions.reshape import all_groups, to_metrics
 from tradewind.functions.temporal import moment, whole_days
 from tradewind.operators.clean import recognized
 from tradewind.params import Params
@@ -67,7 +67,7 @@ def create_rfm(analysis_orders: DataFrame, items: DataFrame, params: Params = Pa
 
 def rfm_segmentation(dim_users: DataFrame) -> DataFrame:
     counts = dim_users.groupBy(F.col("rfm_segment").alias("segment")).agg(F.count("*").alias("count"))
-    everyone = F.sum("count").over(Window.partitionBy())  # a handful of segments
+    everyone = F.sum("count").over(all_groups())
     return counts.select("segment", "count", percent("count", everyone, 1).alias("percentage"))
 
 
@@ -82,7 +82,7 @@ def _cohort_grid(first_and_years: DataFrame) -> DataFrame:
     cohorts = (
         cells.groupBy("cohort_year")
         .agg(F.map_from_entries(F.collect_list(F.struct("year", "users"))).alias("by_year"))
-        .withColumn("_years", F.array_distinct(F.flatten(F.collect_set(F.map_keys("by_year")).over(Window.partitionBy()))))
+        .withColumn("_years", F.array_distinct(F.flatten(F.collect_set(F.map_keys("by_year")).over(all_groups()))))
     )
     return cohorts.select("cohort_year", "by_year", F.explode("_years").alias("year")).select(
         "cohort_year",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tradewind.functions.numeric import flag_total, percent, ratio, ratio0, round_even, total
+from tradewind.functions.reshape import with_row
 from tradewind.functions.temporal import elapsed_seconds, year_month
 
 # Stages in funnel order.
@@ -282,15 +283,13 @@ def marketing_summary(sessions: DataFrame, events: DataFrame) -> DataFrame:
         flag_total("bounce").alias("_bounces"),
         F.sum("event_count").alias("_events"),
     )
-    all_events = events.agg(
-        F.struct(F.count("*").alias("n"), F.count_if(F.col("user_id").isNull()).alias("anonymous")).alias("e")
-    ).scalar()
-    return row.select(
+    every = events.agg(F.count("*").alias("n"), F.count_if(F.col("user_id").isNull()).alias("anonymous"))
+    return with_row(row, every, "every").select(
         "sessions",
-        all_events["n"].alias("events"),
+        F.col("every.n").alias("events"),
         ratio0("_purchases", "sessions").alias("overall_purchase_session_rate"),
         ratio0("_purchases", "_carts").alias("overall_cart_to_purchase"),
         ratio0("_bounces", "sessions").alias("overall_bounce_rate"),
-        ratio0(all_events["anonymous"], all_events["n"]).alias("anonymous_event_pct"),
+        ratio0("every.anonymous", "every.n").alias("anonymous_event_pct"),
         ratio("_events", "sessions").alias("avg_events_per_session"),
     )

@@ -12,15 +12,11 @@ from tradewind.functions.numeric import (
     flag_total, mean, mean_if, percent, ratio, ratio0, total, total_if, total_over,
 )
 from tradewind.functions.ranking import percentiles
-from tradewind.functions.reshape import to_metrics
+from tradewind.functions.reshape import all_groups, to_metrics
 from tradewind.functions.temporal import DAY_SECONDS, elapsed_days, elapsed_seconds
 from tradewind.operators.revenue import merge_totals, money_totals, totals_by_product
 from tradewind.params import Params
 
-# Windows over `ALL` are only put on frames already aggregated to centers or catalog groups.
-ALL = Window.partitionBy()
-
-
 def inventory_turnover(fact_inventory: DataFrame) -> DataFrame:
     unsold = F.col("is_sold") == 0
     row = fact_inventory.agg(
@@ -73,7 +69,7 @@ def abc_classes(category_performance: DataFrame) -> DataFrame:
         "status_leakage_value",
         F.col("quadrant").alias("category_quadrant"),
     )
-    whole = total_over("category_revenue", ALL)
+    whole = total_over("category_revenue", all_groups())
     upto = total_over("category_revenue", order.rowsBetween(Window.unboundedPreceding, 0))
     cumulative = F.col("category_cumulative_revenue_share_pct")
     return (
@@ -109,7 +105,7 @@ def inventory_abc_aging(
     joined = stock.join(centers, "center_id", "left").join(
         abc_classes(category_performance), "product_category", "left"
     )
-    median_aged = F.median("aged_180_cost").over(ALL)
+    median_aged = F.median("aged_180_cost").over(all_groups())
     through, abc = F.col("sell_through_pct"), F.col("abc_class")
     # Thresholds and actions.
     action = first_match(
@@ -258,17 +254,17 @@ def root_cause_proxy(
     )
 
 
-def stock_cutoff(order_items: DataFrame, inventory: DataFrame) -> Column:
-    """Latest of the last order, the last arrival and the last sale, as a scalar."""
-    ordered = order_items.agg(F.max("created_at").alias("t")).scalar()
-    stock = inventory.agg(F.struct(F.max("created_at").alias("created"), F.max("sold_at").alias("sold")).alias("t")).scalar()
-    return F.greatest(ordered, stock["created"], stock["sold"])
+def stock_cutoff(order_items: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Latest of the last order, the last arrival and the last sale, as a one-row frame."""
+    ordered = order_items.agg(F.max("created_at").alias("t"))
+    stocked = inventory.agg(F.greatest(F.max("created_at"), F.max("sold_at")).alias("t"))
+    return ordered.unionByName(stocked).agg(F.max("t").alias("cutoff"))
 
 
-def age_inventory(inventory: DataFrame, cutoff: Column) -> DataFrame:
+def age_inventory(inventory: DataFrame, cutoff: DataFrame) -> DataFrame:
     """Sold units by time held, unsold ones by time to the cutoff, in fractional days."""
     sold = F.col("sold_at").isNotNull()
-    seconds = F.when(sold, elapsed_seconds("sold_at", "created_at")).otherwise(elapsed_seconds(cutoff, "created_at"))
+    seconds = F.when(sold, elapsed_seconds("sold_at", "created_at")).otherwise(elapsed_seconds(cutoff.scalar(), "created_at"))
     return (
         inventory.withColumn("is_sold", sold)
         .withColumn("age_seconds", seconds)
@@ -332,8 +328,8 @@ def center_stock_vs_demand(by_center: DataFrame, items: DataFrame) -> DataFrame:
     return (
         by_center.join(demand, "dc_id", "left")
         .fillna({"revenue": 0.0, "profit": 0.0, "sold_order_items": 0})
-        .withColumn("stock_share", ratio("unsold_cost", total_over("unsold_cost", ALL)))
-        .withColumn("revenue_share", ratio("revenue", total_over("revenue", ALL)))
+        .withColumn("stock_share", ratio("unsold_cost", total_over("unsold_cost", all_groups())))
+        .withColumn("revenue_share", ratio("revenue", total_over("revenue", all_groups())))
         .withColumn("stock_minus_demand_share", F.col("stock_share") - F.col("revenue_share"))
     )
 
@@ -379,7 +375,7 @@ def fulfillment_summary(items: DataFrame) -> DataFrame:
     )
 
 
-def inventory_summary(aged: DataFrame, cutoff: Column) -> DataFrame:
+def inventory_summary(aged: DataFrame, cutoff: DataFrame) -> DataFrame:
     """Eleven figures in one row."""
     sold = F.col("is_sold")
     row = aged.agg(
@@ -394,7 +390,7 @@ def inventory_summary(aged: DataFrame, cutoff: Column) -> DataFrame:
         _mean_age(sold).alias("avg_sold_holding_days"),
     )
     return row.select(
-        cutoff.alias("cutoff"),
+        cutoff.scalar().alias("cutoff"),
         "inventory_units",
         "sold_units",
         "unsold_units",

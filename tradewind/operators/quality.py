@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tradewind.functions.numeric import flag_total, ratio0, round_even, total
 from tradewind.functions.ranking import split_long_groups
-from tradewind.functions.reshape import to_checks
+from tradewind.functions.reshape import to_checks, with_row
 from tradewind.operators.clean import clean_order_items, orders_for_analysis, revenue_items
 from tradewind.params import Params
 from tradewind.sources.schemas import PRIMARY_KEYS, RawTables
@@ -281,16 +281,16 @@ def scope_reconciliation(
         F.coalesce(F.sum(F.col("n") * F.col("copies")), F.lit(0)).alias("eligible"),
         total("value").alias("gmv"),
     )
-    kept = fact.agg(F.struct(F.count("*").alias("rows"), total("GMV_All_Status").alias("gmv")).alias("f")).scalar()
-    row = items.select(
+    kept = fact.agg(F.count("*").alias("rows"), total("GMV_All_Status").alias("gmv"))
+    row = with_row(items, kept, "kept").select(
         F.col("rows").alias("raw_order_item_rows"),
         F.col("low").alias("sub_1_price_rows_excluded"),
         (F.col("rows") - F.col("low")).alias("rows_after_price_filter"),
         F.col("eligible").alias("eligible_rows_after_partial_year_and_missing_date_exclusion"),
-        kept["rows"].alias("fact_transaction_rows"),
+        F.col("kept.rows").alias("fact_transaction_rows"),
         round_even("gmv", 2).alias("raw_gmv"),
-        round_even(kept["gmv"], 2).alias("processed_fact_gmv"),
-        round_even(F.col("gmv") - kept["gmv"], 2).alias("gmv_removed_from_model_scope"),
+        round_even(F.col("kept.gmv"), 2).alias("processed_fact_gmv"),
+        round_even(F.col("gmv") - F.col("kept.gmv"), 2).alias("gmv_removed_from_model_scope"),
     )
     return to_checks(row, "scope_reconciliation")
 
@@ -302,13 +302,12 @@ def raw_quality_checks(raw: RawTables) -> DataFrame:
         nulls = child.agg(F.count_if(F.col(key).isNull())).scalar()
         return orphans(child, key, parent, parent_key).select("orphan_rows").scalar() + nulls
 
-    event_stats = F.struct(
+    events = raw.events.agg(
         F.count("*").alias("n"),
         F.count_if(F.col("user_id").isNull()).alias("anonymous"),
         F.min("created_at").alias("first"),
         F.max("created_at").alias("last"),
     )
-    events = raw.events.agg(event_stats.alias("s")).scalar()
     items = raw.order_items
     counted = items.where(F.col("order_id").isNotNull()).groupBy("order_id").agg(F.count("*").alias("n"))
     # A missing number differs from any count.
@@ -316,18 +315,19 @@ def raw_quality_checks(raw: RawTables) -> DataFrame:
         F.count_if(F.coalesce(F.col("num_of_item") != F.col("n"), F.lit(True)))
     )
     costly = raw.products.agg(F.count_if(F.col("cost") > F.col("retail_price")))
-    return items.agg(
+    times = items.agg(
         F.min("created_at").alias("order_time_min"),
         F.max("created_at").alias("order_time_max"),
         F.count_if(F.col("sale_price") < 1).alias("sale_price_lt_1_items"),
-    ).select(
+    )
+    return with_row(times, events, "events").select(
         lost(items, "user_id", raw.users, "id").alias("orphan_item_user_ids"),
         lost(items, "product_id", raw.products, "id").alias("orphan_item_product_ids"),
         lost(items, "order_id", raw.orders, "order_id").alias("orphan_item_order_ids"),
         lost(raw.inventory, "product_id", raw.products, "id").alias("inventory_orphan_product_ids"),
-        ratio0(events["anonymous"], events["n"]).alias("events_user_id_null_pct"),
-        events["first"].alias("event_time_min"),
-        events["last"].alias("event_time_max"),
+        ratio0("events.anonymous", "events.n").alias("events_user_id_null_pct"),
+        F.col("events.first").alias("event_time_min"),
+        F.col("events.last").alias("event_time_max"),
         "order_time_min",
         "order_time_max",
         "sale_price_lt_1_items",

@@ -10,14 +10,10 @@ from tradewind.functions.bands import RECOGNIZED_PRICE_BANDS, band, first_match,
 from tradewind.functions.numeric import (
     flag_total, percent, ratio, ratio0, total, total_if, total_over,
 )
-from tradewind.functions.reshape import to_metrics
+from tradewind.functions.reshape import all_groups, to_metrics
 from tradewind.operators.clean import recognized
 from tradewind.params import Params
 
-# Windows over `ALL` are only put on frames already aggregated to years, categories or other catalog groups.
-ALL = Window.partitionBy()
-
-
 def money_totals() -> dict[str, Column]:
     """Sums over fact rows. Adding the sums of parts with `merge_totals` gives the same numbers."""
     return {
@@ -100,15 +96,15 @@ def annual_revenue(fact: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def _quadrant(revenue: str, margin: str) -> Column:
-    high_revenue = F.col(revenue) > F.median(revenue).over(ALL)
-    median_margin = F.median(margin).over(ALL)
+    high_revenue = F.col(revenue) > F.median(revenue).over(all_groups())
+    median_margin = F.median(margin).over(all_groups())
     high_margin = F.col(margin) > median_margin
     # Quadrant names.
     return first_match(
         [
             (high_revenue & high_margin, "Star"),
             (high_revenue & (F.col(margin) <= median_margin), "Cash Cow"),
-            ((F.col(revenue) <= F.median(revenue).over(ALL)) & high_margin, "Problem Child"),
+            ((F.col(revenue) <= F.median(revenue).over(all_groups())) & high_margin, "Problem Child"),
         ],
         "Dog",
     )
@@ -198,7 +194,7 @@ def price_band_performance(fact: DataFrame, dim_products: DataFrame) -> DataFram
         .withColumn("cancel_value_share_pct", percent("cancelled_value", "gmv_all_status"))
         .drop("priced")
     )
-    above_median = F.col("revenue") > F.median("revenue").over(ALL)
+    above_median = F.col("revenue") > F.median("revenue").over(all_groups())
     # Thresholds and actions.
     action = first_match(
         [

@@ -5,10 +5,12 @@ Every value is a fixed expression of the row (FIXTURES.md), so the same mapping
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tradewind.params import Params
-from tradewind.sources.schemas import RawTables
+from tradewind.sources.schemas import RAW_FILES
 
 # Parameters that suit the dates and sizes of these tables.
 ADAPTER_PARAMS = Params(
@@ -158,19 +160,46 @@ def _centers(nation: DataFrame) -> DataFrame:
     )
 
 
-def adapt(spark: SparkSession, folder: str) -> RawTables:
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-
-    orders = _orders(table("orders"))
-    products = _products(table("part"))
-    lineitem, nation = table("lineitem"), table("nation")
-    return RawTables(
-        orders=orders,
-        order_items=_order_items(lineitem, orders),
-        inventory=_inventory(lineitem, products, table("supplier")),
-        events=_events(table("events")),
-        users=_users(table("customer"), nation, table("region")),
-        products=products,
-        dcs=_centers(nation),
-    )
+class AdaptedTables:
+    """The seven raw tables, each defined when first asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder = spark, folder.rstrip("/")
+
+    def _table(self, name: str) -> DataFrame:
+        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return _orders(self._table("orders"))
+
+    @cached_property
+    def order_items(self) -> DataFrame:
+        return _order_items(self._table("lineitem"), self.orders)
+
+    @cached_property
+    def inventory(self) -> DataFrame:
+        return _inventory(self._table("lineitem"), self.products, self._table("supplier"))
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return _events(self._table("events"))
+
+    @cached_property
+    def users(self) -> DataFrame:
+        return _users(self._table("customer"), self._table("nation"), self._table("region"))
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return _products(self._table("part"))
+
+    @cached_property
+    def dcs(self) -> DataFrame:
+        return _centers(self._table("nation"))
+
+    def items(self) -> list[tuple[str, DataFrame]]:
+        return [(name, getattr(self, name)) for name in RAW_FILES]
+
+
+def adapt(spark: SparkSession, folder: str) -> AdaptedTables:
+    return AdaptedTables(spark, folder)
