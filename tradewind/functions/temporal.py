@@ -12,8 +12,14 @@ DAY_SECONDS = 86400.0
 def parse_utc(text: Column | str) -> Column:
     """Text to zone-less UTC time: an offset is applied, no offset means UTC, bad text gives null."""
     value = F.trim(col(text).cast("string"))
-    zoned = value.rlike(r"(Z|UTC|[+-]\d{2}:?\d{2})$")
-    instant = F.try_to_timestamp(F.when(zoned, value).otherwise(F.concat(value, F.lit(" UTC"))))
+    zoned = value.rlike(r":.*(Z|UTC|[+-]\d{2}:?\d{2})$")
+    date_only = value.rlike(r"^[^:]*$")
+    complete = (
+        F.when(zoned, value)
+        .when(date_only, F.concat(value, F.lit(" 00:00:00 UTC")))
+        .otherwise(F.concat(value, F.lit(" UTC")))
+    )
+    instant = F.try_to_timestamp(complete)
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
 
 
