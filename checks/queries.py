@@ -12,6 +12,7 @@ from tradewind.functions.numeric import percent, ratio0
 from tradewind.functions.temporal import parse_utc
 from tradewind.operators import basket, clean, clusters, customers, forecast, funnel, operations, quality, revenue, series, star
 from tradewind.plans import pipeline
+from tradewind.session import tune
 from tradewind.sources.adapter import ADAPTER_PARAMS as P, adapt
 
 
@@ -300,6 +301,6 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, folder: query(Tables(spark, folder))
+        return lambda spark, folder: query(Tables(tune(spark), folder))
 
     return {name: bind(query) for name, query in QUERIES.items()}

@@ -20,7 +20,9 @@ def monthly(tables):
 
 
 def test_elbow_takes_the_smallest_second_difference():
-    assert clusters.elbow([100, 60, 30, 25, 22, 20]) == 4
+    # Second differences 10, 25, 2, 1 and 45, -20, 23, 1.
+    assert clusters.elbow([100, 60, 30, 25, 22, 20]) == 6
+    assert clusters.elbow([100, 50, 45, 20, 18, 17]) == 4
     assert clusters.elbow([10, 5]) == 6
 
 

@@ -34,6 +34,17 @@ def test_csv_is_matched_by_name_and_bad_values_become_null(spark, tmp_path):
     ]
 
 
+def test_missing_texts_are_null_but_only_empty_ones_in_events(spark, tmp_path):
+    write(tmp_path / "users.csv", 'id,age,city,latitude\n1,NA,null,nan\n2,30,"",1.5\n')
+    assert rows(readers.read_raw(spark, str(tmp_path), "users", columns=["id", "age", "city", "latitude"])) == [
+        (1, None, None, None), (2, 30, None, 1.5),
+    ]
+    write(tmp_path / "events.csv", "id,city,user_id\n1,null,\n2,,5\n")
+    assert rows(readers.read_raw(spark, str(tmp_path), "events", columns=["id", "city", "user_id"])) == [
+        (1, "null", None), (2, None, 5),
+    ]
+
+
 def test_missing_optional_tables_are_none(spark, tmp_path):
     assert readers.load_funnel_events(spark, str(tmp_path)) is None
     assert readers.load_raw_orders(spark, None) is None
@@ -44,7 +55,7 @@ def test_missing_optional_tables_are_none(spark, tmp_path):
 
 def test_raw_tables_survive_csv(spark, tables, tmp_path):
     for name, df in tables.raw.items():
-        df.coalesce(1).write.option("header", True).csv(str(tmp_path / f"{readers.RAW_FILES[name]}.csv"))
+        sinks.write_result(df, str(tmp_path / f"{readers.RAW_FILES[name]}.csv"), "csv")
     raw = readers.load_raw(spark, str(tmp_path), event_columns=SESSION_EVENT_COLUMNS)
     for name, df in tables.raw.items():
         read = getattr(raw, name).select(*df.columns)
@@ -71,6 +82,14 @@ def test_etl_writes_all_tables(spark, tables, run_folder):
     assert 0 < samples.count() <= 50
 
 
+def test_year_filters_skip_files_of_the_written_fact(spark, run_folder):
+    from tradewind.operators.star import ensure_revenue_columns
+
+    fact = ensure_revenue_columns(readers.load_star(spark, f"{run_folder[0]}/processed").fact_transactions)
+    plan = fact.where("year <= 1996").select("order_id")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*year", plan)
+
+
 def test_analyses_run_from_the_written_star_schema(spark, tables, run_folder):
     star = readers.load_star(spark, f"{run_folder[0]}/processed")
     results = pipeline.star_analyses(star, tables.raw.events, tables.raw.orders, ADAPTER_PARAMS)

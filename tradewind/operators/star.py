@@ -60,8 +60,9 @@ def ensure_revenue_columns(fact: DataFrame, params: Params = Params()) -> DataFr
         "Return_Value": F.when(status == "Returned", price).otherwise(0.0),
         "Processing_Backlog_Value": F.when(status == "Processing", price).otherwise(0.0),
     }
-    missing = {name: value for name, value in derived.items() if name not in fact.columns}
-    return fact.withColumns({**missing, "year": F.floor(F.col("date_key").cast("int") / 10000).cast("int")})
+    # A written fact is partitioned by its year, which stays as it is so that year filters skip files.
+    derived["year"] = F.floor(F.col("date_key").cast("int") / 10000).cast("int")
+    return fact.withColumns({name: value for name, value in derived.items() if name not in fact.columns})
 
 
 def build_fact_inventory(inventory: DataFrame) -> DataFrame:

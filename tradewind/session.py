@@ -8,13 +8,22 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Row-level joins (items to orders, items to products) keep every row, so a hot key is split here.
+    # Row-level joins (items to orders, items to products) keep every row, so a hot key is split here, also where
+    # the rows are grouped by the same key afterwards and another shuffle is needed for it.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
+STATIC_SETTINGS = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Puts the settings on a session that was built elsewhere."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
 
 
 def build_session(app: str = "tradewind", master: str | None = None, **extra: str) -> SparkSession:
@@ -22,7 +31,7 @@ def build_session(app: str = "tradewind", master: str | None = None, **extra: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **STATIC_SETTINGS}.items():
         builder = builder.config(key, value)
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)

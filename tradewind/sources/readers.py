@@ -12,6 +12,14 @@ from tradewind.params import NO_PURCHASE_SEGMENT
 from tradewind.sources.schemas import FUNNEL_EVENT_COLUMNS, RAW_FILES, RAW_SCHEMAS, RawTables, StarSchema
 
 
+# Texts of a missing value in the CSV files. In events only an empty field is missing.
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+MISSING_IN_EVENTS = ("",)
+
+
 def read_raw(
     spark: SparkSession, folder: str, table: str, fmt: str = "csv", columns: Sequence[str] | None = None
 ) -> DataFrame:
@@ -24,16 +32,19 @@ def read_raw(
         df = spark.read.option("header", True).option("escape", '"').csv(f"{path}.csv")
     else:
         df = spark.read.parquet(f"{path}.parquet")
+    missing = MISSING_IN_EVENTS if table == "events" else MISSING
     wanted = list(columns or RAW_SCHEMAS[table])
-    return df.select(*[_typed(df, name, RAW_SCHEMAS[table][name]) for name in wanted])
+    return df.select(*[_typed(df, name, RAW_SCHEMAS[table][name], missing).alias(name) for name in wanted])
 
 
-def _typed(df: DataFrame, name: str, kind: str) -> Column:
+def _typed(df: DataFrame, name: str, kind: str, missing: Sequence[str]) -> Column:
     if name not in df.columns:
-        return F.lit(None).cast(kind).alias(name)
-    if kind == "timestamp_ntz" and dict(df.dtypes)[name] == "string":
-        return parse_utc(name).alias(name)
-    return F.col(name).try_cast(kind).alias(name)
+        return F.lit(None).cast(kind)
+    value = F.col(name)
+    if dict(df.dtypes)[name] != "string":
+        return value.try_cast(kind)
+    value = F.when(~value.isin(*missing), value)
+    return parse_utc(value) if kind == "timestamp_ntz" else value.try_cast(kind)
 
 
 def load_raw(
