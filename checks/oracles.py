@@ -872,6 +872,12 @@ _SQL: dict[str, tuple[str, str]] = {
         from (select traffic_source, count(id) as purchase_events, count(distinct user_id) as global_unique_users,
             count(distinct session_id) as sessions from raw_events where event_type = 'purchase' and traffic_source is not null group by 1)""",
     ),
+    "traffic_source_from_monthly": (
+        "funnel_monthly",
+        f"""select *, {rnd(ratio('purchase_events', 'user_months'), 2)} as purchase_events_per_user_month
+        from (select traffic_source, sum(event_count)::bigint as purchase_events, sum(unique_users)::bigint as user_months,
+            null::bigint as sessions from funnel_monthly where event_type = 'purchase' group by 1)""",
+    ),
     "basket_affinity": (
         "baskets basket_orders",
         f"""select *, case when lift >= 1.5 and orders_with_pair >= 50 then 'Bundle/cross-sell priority'

@@ -227,6 +227,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "journey_by_source": lambda t: funnel.journey_by_source(t.raw.events),
     "journey_from_monthly": lambda t: funnel.journey_from_monthly(t.funnel_monthly),
     "traffic_source_performance": lambda t: funnel.traffic_source_performance(t.raw.events),
+    "traffic_source_from_monthly": lambda t: funnel.traffic_source_from_monthly(t.funnel_monthly),
     "basket_affinity": lambda t: basket.basket_affinity(t.fact, t.dim_products),
     "price_band_performance": lambda t: revenue.price_band_performance(t.fact, t.dim_products),
     "inventory_turnover": lambda t: operations.inventory_turnover(t.fact_inventory),
@@ -294,6 +295,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "top_categories": lambda t: series.top_categories(t.monthly, 3),
     "seasonal_naive_forecast": lambda t: series.seasonal_naive_forecast(t.regular),
     "forecast_top_categories": lambda t: forecast.forecast_top_categories(t.monthly),
+    "forecast_backtest": lambda t: forecast.forecast_backtest(t.monthly),
+    "tuned_forecast": lambda t: forecast.tuned_forecast(t.monthly),
     "forecast_evaluation": lambda t: forecast.forecast_evaluation(t.monthly),
     "model_report": _model_report,
 }

@@ -103,6 +103,18 @@ def test_tuning_beats_or_equals_the_default(spark):
     assert effect["mape_pct_plain"] == tuned["best_mape_pct"] and effect["mape_pct_calendar"] >= 0
 
 
+def test_tuned_forecast_uses_the_calendar(spark):
+    series = seasonal(spark)
+    got = forecast.tuned_forecast(series).orderBy("ds").collect()
+    assert [r["ds"] for r in got] == [dt.date(2023, m, 1) for m in range(1, 13)]
+    for i, r in enumerate(got):
+        expected = 1000 + 10 * (60 + i) + 200 * math.sin(2 * math.pi * i / 12)
+        assert abs(r["yhat"] - expected) / expected < 0.1
+    errors = forecast.forecast_backtest(series).first()
+    assert errors["mape_pct"] == forecast.forecast_evaluation(series).first()["mape_pct"]
+    assert 0 <= errors["mae"] <= errors["rmse"]
+
+
 def test_report_names_the_largest_cluster(spark):
     clustered = spark.createDataFrame([("a",), ("b",), ("b",)], "cluster_label string")
     evaluation = spark.createDataFrame([("m", 10.0), ("m", 20.5)], "model_type string, mape_pct double")

@@ -88,14 +88,11 @@ def _fit_predict(train: pd.DataFrame, ds: pd.Series, p: FitParams) -> tuple[np.n
     return back(_columns(ds, first, months, p)[0] @ coefficients), float(np.std(y - fitted))
 
 
-def _folds(regular: DataFrame) -> DataFrame:
-    """Each series twice: fold `test` holds out its last twelve months, fold `future` asks for the next twelve."""
-    folds = F.explode(F.array(F.lit("test"), F.lit("future")))
-    return regular.select("category", "ds", "y", folds.alias("fold"))
+def _fit(requests: DataFrame, grid: list[FitParams]) -> DataFrame:
+    """One fit per (category, fold, params) group of `requests`, which holds the series (ds, y) of each.
 
-
-def _run(regular: DataFrame, grid: list[FitParams], folds: tuple[str, ...]) -> DataFrame:
-    """(category, fold, params, ds, actual, yhat, yhat_lower, yhat_upper), one fit per category, fold and parameter set."""
+    Fold `test` holds out the last twelve months and predicts them, fold `future` predicts the next twelve.
+    """
 
     def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         category, fold, i = key
@@ -126,16 +123,23 @@ def _run(regular: DataFrame, grid: list[FitParams], folds: tuple[str, ...]) -> D
         "category string, fold string, params int, ds date, actual double, yhat double, "
         "yhat_lower double, yhat_upper double"
     )
-    choices = F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1)))
     return (
-        _folds(regular)
-        .where(F.col("fold").isin(*folds))
-        .withColumn("params", choices)
+        requests.select("category", "ds", "y", "fold", "params")
         .groupBy("category", "fold", "params")
         .applyInPandas(fit, schema)
     )
 
 
+def _fit_all(regular: DataFrame, grid: list[FitParams], *folds: str) -> DataFrame:
+    """Every series with every parameter set in every fold."""
+    return _fit(
+        regular.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in folds]))).withColumn(
+            "params", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1)))
+        ),
+        grid,
+    )
+
+
 def eligible_series(monthly: DataFrame, top_n: int = 3, least_months: int = 24) -> DataFrame:
     """Gap-free series of the largest categories that are long enough to hold out a year."""
     regular = regular_monthly(top_categories(monthly, top_n))
@@ -146,7 +150,7 @@ def eligible_series(monthly: DataFrame, top_n: int = 3, least_months: int = 24)
 def forecast_top_categories(monthly: DataFrame, top_n: int = 3, params: FitParams = FitParams()) -> DataFrame:
     """Twelve months ahead with bands and the backtest error."""
     series = eligible_series(monthly, top_n)
-    fitted = _run(series, [params], ("test", "future"))
+    fitted = _fit_all(series, [params], "test", "future")
     tests = fitted.where(F.col("fold") == "test").select("category", "ds", "actual", F.col("yhat").alias("predicted"))
     errors = backtest_metrics(tests).select("category", round_even("mape_pct", 2).alias("mape_pct"))
     return (
@@ -156,11 +160,21 @@ def forecast_top_categories(monthly: DataFrame, top_n: int = 3, params: FitParam
     )
 
 
+def _errors(series: DataFrame, params: FitParams) -> DataFrame:
+    tests = _fit_all(series, [params], "test")
+    return backtest_metrics(tests.select("category", "ds", "actual", F.col("yhat").alias("predicted")))
+
+
+def forecast_backtest(monthly: DataFrame, top_n: int = 3, params: FitParams = FitParams()) -> DataFrame:
+    """MAE, RMSE and MAPE of the held-out year per category."""
+    errors = _errors(eligible_series(monthly, top_n), params)
+    return errors.select("category", *[round_even(c, 2).alias(c) for c in ("mae", "rmse", "mape_pct")])
+
+
 def forecast_evaluation(monthly: DataFrame, top_n: int = 3, params: FitParams = FitParams()) -> DataFrame:
     """Backtest span and error per category."""
     series = eligible_series(monthly, top_n)
-    tests = _run(series, [params], ("test",)).select("category", "ds", "actual", F.col("yhat").alias("predicted"))
-    errors = backtest_metrics(tests).select("category", round_even("mape_pct", 2).alias("mape_pct"))
+    errors = _errors(series, params).select("category", round_even("mape_pct", 2).alias("mape_pct"))
     spans = series.groupBy("category").agg(
         F.count("*").alias("_n"), F.min("ds").alias("train_start"), F.max("ds").alias("_last")
     )
@@ -176,7 +190,7 @@ def forecast_evaluation(monthly: DataFrame, top_n: int = 3, params: FitParams =
 
 
 def _grid_errors(monthly: DataFrame, top_n: int, grid: list[FitParams]) -> DataFrame:
-    tests = _run(eligible_series(monthly, top_n), grid, ("test",))
+    tests = _fit_all(eligible_series(monthly, top_n), grid, "test")
     ape = F.when(F.col("actual") != 0, F.abs(F.try_divide(F.col("actual") - F.col("yhat"), F.col("actual"))))
     return tests.groupBy("category", "params").agg((mean(ape) * 100).alias("mape"))
 
@@ -197,6 +211,19 @@ def tune_forecast(monthly: DataFrame, top_n: int = 3) -> DataFrame:
     ).select("category", "best_mape_pct", "p.*")
 
 
+def tuned_forecast(monthly: DataFrame, top_n: int = 3) -> DataFrame:
+    """Twelve months ahead with each category's best parameters and the calendar columns."""
+    best = (
+        _grid_errors(monthly, top_n, parameter_grid())
+        .groupBy("category")
+        .agg(F.min(F.struct("mape", "params"))["params"].alias("params"))
+    )
+    requests = eligible_series(monthly, top_n).join(F.broadcast(best), "category")  # top_n rows
+    return _fit(requests.withColumn("fold", F.lit("future")), parameter_grid(calendar=True)).select(
+        "category", "ds", "yhat", "yhat_lower", "yhat_upper"
+    )
+
+
 def calendar_effect(monthly: DataFrame, top_n: int = 3) -> DataFrame:
     """Backtest error of the best parameter set per category, and of the same set with the calendar columns added."""
     plain, events = parameter_grid(), parameter_grid(calendar=True)

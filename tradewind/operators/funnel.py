@@ -175,6 +175,20 @@ def traffic_source_performance(events: DataFrame) -> DataFrame:
     )
 
 
+def traffic_source_from_monthly(agg_funnel_monthly: DataFrame) -> DataFrame:
+    """Traffic sources without raw events: no sessions, and monthly users added up."""
+    return (
+        agg_funnel_monthly.where(F.col("event_type") == "purchase")
+        .groupBy("traffic_source")
+        .agg(
+            F.sum("event_count").alias("purchase_events"),
+            F.sum("unique_users").alias("user_months"),
+            F.lit(None).cast("bigint").alias("sessions"),
+        )
+        .withColumn("purchase_events_per_user_month", round_even(ratio("purchase_events", "user_months"), 2))
+    )
+
+
 def purchase_intensity(agg_funnel_monthly: DataFrame) -> DataFrame:
     """Purchase events per monthly user by source, from the monthly table."""
     return (

@@ -78,7 +78,7 @@ def star_analyses(
             funnel.journey_by_source(events) if events is not None else funnel.journey_from_monthly(monthly)
         ),
         "traffic_source_performance": (
-            funnel.traffic_source_performance(events) if events is not None else funnel.purchase_intensity(monthly)
+            funnel.traffic_source_performance(events) if events is not None else funnel.traffic_source_from_monthly(monthly)
         ),
         "basket_affinity_analysis": basket.basket_affinity(fact, products),
         "price_band_performance": revenue.price_band_performance(fact, products),
@@ -142,6 +142,8 @@ def model_results(tables: StarSchema, params: Params = Params(), k: int | None =
         "cluster_profile_summary": clusters.cluster_profile(clustered),
         "demand_forecast_12m": forecast.forecast_top_categories(monthly, top_n),
         "demand_forecast_evaluation": evaluation,
+        "demand_forecast_backtest_summary": forecast.forecast_backtest(monthly, top_n),
+        "demand_forecast_12m_tuned": forecast.tuned_forecast(monthly, top_n),
         "demand_forecast_tuning": forecast.tune_forecast(monthly, top_n),
         "demand_forecast_regressor_metrics": forecast.calendar_effect(monthly, top_n),
         "demand_forecast_seasonal_naive": series.seasonal_naive_forecast(series.regular_monthly(monthly)),
