@@ -13,8 +13,9 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from tradewind.functions.durable import durable
 from tradewind.functions.numeric import mean, round_even
 from tradewind.operators.series import HORIZON, backtest_metrics, regular_monthly, top_categories
 
@@ -141,16 +142,19 @@ def _fit_all(regular: DataFrame, grid: list[FitParams], *folds: str) -> DataFram
 
 
 def eligible_series(monthly: DataFrame, top_n: int = 3, least_months: int = 24) -> DataFrame:
-    """Gap-free series of the largest categories that are long enough to hold out a year."""
+    """Gap-free series of the largest categories that are long enough to hold out a year.
+
+    Kept, because fits, errors and spans are all taken from these few rows.
+    """
     regular = regular_monthly(top_categories(monthly, top_n))
-    enough = regular.groupBy("category").agg(F.count("*").alias("_n")).where(F.col("_n") >= least_months)
-    return regular.join(F.broadcast(enough.select("category")), "category", "left_semi")
+    months = F.count("*").over(Window.partitionBy("category"))
+    return durable(regular.withColumn("_n", months).where(F.col("_n") >= least_months).drop("_n"))
 
 
 def forecast_top_categories(monthly: DataFrame, top_n: int = 3, params: FitParams = FitParams()) -> DataFrame:
     """Twelve months ahead with bands and the backtest error."""
     series = eligible_series(monthly, top_n)
-    fitted = _fit_all(series, [params], "test", "future")
+    fitted = durable(_fit_all(series, [params], "test", "future"))
     tests = fitted.where(F.col("fold") == "test").select("category", "ds", "actual", F.col("yhat").alias("predicted"))
     errors = backtest_metrics(tests).select("category", round_even("mape_pct", 2).alias("mape_pct"))
     return (
@@ -189,8 +193,8 @@ def forecast_evaluation(monthly: DataFrame, top_n: int = 3, params: FitParams =
     )
 
 
-def _grid_errors(monthly: DataFrame, top_n: int, grid: list[FitParams]) -> DataFrame:
-    tests = _fit_all(eligible_series(monthly, top_n), grid, "test")
+def _grid_errors(series: DataFrame, grid: list[FitParams]) -> DataFrame:
+    tests = _fit_all(series, grid, "test")
     ape = F.when(F.col("actual") != 0, F.abs(F.try_divide(F.col("actual") - F.col("yhat"), F.col("actual"))))
     return tests.groupBy("category", "params").agg((mean(ape) * 100).alias("mape"))
 
@@ -201,7 +205,7 @@ def tune_forecast(monthly: DataFrame, top_n: int = 3) -> DataFrame:
     cells = [
         F.struct(*[F.lit(v).alias(k) for k, v in asdict(p).items() if k != "calendar"]) for p in grid
     ]
-    best = _grid_errors(monthly, top_n, grid).groupBy("category").agg(
+    best = _grid_errors(eligible_series(monthly, top_n), grid).groupBy("category").agg(
         F.min(F.struct("mape", "params")).alias("best")
     )
     return best.select(
@@ -213,12 +217,13 @@ def tune_forecast(monthly: DataFrame, top_n: int = 3) -> DataFrame:
 
 def tuned_forecast(monthly: DataFrame, top_n: int = 3) -> DataFrame:
     """Twelve months ahead with each category's best parameters and the calendar columns."""
+    series = eligible_series(monthly, top_n)
     best = (
-        _grid_errors(monthly, top_n, parameter_grid())
+        _grid_errors(series, parameter_grid())
         .groupBy("category")
         .agg(F.min(F.struct("mape", "params"))["params"].alias("params"))
     )
-    requests = eligible_series(monthly, top_n).join(F.broadcast(best), "category")  # top_n rows
+    requests = series.join(F.broadcast(best), "category")  # top_n rows
     return _fit(requests.withColumn("fold", F.lit("future")), parameter_grid(calendar=True)).select(
         "category", "ds", "yhat", "yhat_lower", "yhat_upper"
     )
@@ -230,7 +235,7 @@ def calendar_effect(monthly: DataFrame, top_n: int = 3) -> DataFrame:
     best = F.min(F.when(F.col("params") < len(plain), F.struct("mape", "params")))
     # One entry per parameter set.
     return (
-        _grid_errors(monthly, top_n, plain + events)
+        _grid_errors(eligible_series(monthly, top_n), plain + events)
         .groupBy("category")
         .agg(best.alias("best"), F.map_from_entries(F.collect_list(F.struct("params", "mape"))).alias("at"))
         .select(

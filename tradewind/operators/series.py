@@ -39,14 +39,13 @@ def deduplicated_gmv_series(fact: DataFrame, dim_products: DataFrame) -> DataFra
 
 def top_categories(series: DataFrame, n: int, value: str = "revenue") -> DataFrame:
     """The rows of the `n` categories with the largest totals."""
-    largest = (
-        series.groupBy("category")
-        .agg(total(value).alias("_total"))
-        .orderBy(F.col("_total").desc(), "category")
-        .limit(n)
-        .select("category")
+    by_size = Window.orderBy(F.col("_total").desc(), "category")  # one row per category and month
+    return (
+        series.withColumn("_total", total_over(value, Window.partitionBy("category")))
+        .withColumn("_rank", F.dense_rank().over(by_size))
+        .where(F.col("_rank") <= n)
+        .drop("_total", "_rank")
     )
-    return series.join(F.broadcast(largest), "category", "left_semi")
 
 
 def regular_monthly(series: DataFrame, value: str = "revenue") -> DataFrame:
