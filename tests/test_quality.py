@@ -95,6 +95,7 @@ def test_orphans_skip_null_keys(spark):
     child = spark.createDataFrame([(1,), (1,), (9,), (9,), (9,), (None,)], "k long")
     parent = spark.createDataFrame([(1,), (1,), (2,)], "id long")
     assert tuple(quality.orphans(child, "k", parent, "id").first()) == (5, 3)
+    assert tuple(quality.orphans(child, "k", parent, "id", count_nulls=True).first()) == (6, 4)
     empty = spark.createDataFrame([], "k long")
     assert tuple(quality.orphans(empty, "k", parent, "id").first()) == (0, 0)
 

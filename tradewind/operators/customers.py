@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tradewind.functions.bands import AGE_BANDS, band, first_match
 from tradewind.functions.durable import durable
 from tradewind.functions.numeric import (
-    flag_total, mean, mean_if, percent, ratio, ratio0, round_even, total, total_if,
+    flag_total, mean, mean_if, percent, ratio, ratio0, total, total_if,
 )
 from tradewind.functions.ranking import percentile_of, quintiles
 from tradewind.functions.reshape import all_groups, to_metrics

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tradewind.functions.numeric import flag_total, percent, ratio, ratio0, round_even, total
+from tradewind.functions.numeric import flag_total, percent, ratio, ratio0, round_even
 from tradewind.functions.reshape import with_row
 from tradewind.functions.temporal import elapsed_seconds, year_month
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tradewind.functions.numeric import flag_total, ratio0, round_even, total
 from tradewind.functions.ranking import split_long_groups
 from tradewind.functions.reshape import to_checks, with_row
-from tradewind.operators.clean import clean_order_items, orders_for_analysis, revenue_items
+from tradewind.operators.clean import clean_order_items, orders_for_analysis
 from tradewind.params import Params
 from tradewind.sources.schemas import PRIMARY_KEYS, RawTables
 
@@ -189,9 +189,15 @@ def item_checks(clean_items: DataFrame) -> DataFrame:
     return to_checks(row, "order_item_quality")
 
 
-def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """One row (checked_rows, orphan_rows) over the non-null keys. Keys are counted before they are looked up."""
-    keys = child.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n"))
+def orphans(
+    child: DataFrame, key: str, parent: DataFrame, parent_key: str, count_nulls: bool = False
+) -> DataFrame:
+    """One row (checked_rows, orphan_rows). Keys are counted before they are looked up.
+
+    A missing key is left out, or with `count_nulls` counted as an orphan.
+    """
+    rows = child if count_nulls else child.where(F.col(key).isNotNull())
+    keys = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n"))
     known = parent.select(F.col(parent_key).alias("_key")).distinct().withColumn("_known", F.lit(True))
     return keys.join(known, "_key", "left").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("checked_rows"),
@@ -299,8 +305,7 @@ def raw_quality_checks(raw: RawTables) -> DataFrame:
     """Orphans, missing users, time spans and item-count differences in one row. A null key counts as orphan."""
 
     def lost(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> Column:
-        nulls = child.agg(F.count_if(F.col(key).isNull())).scalar()
-        return orphans(child, key, parent, parent_key).select("orphan_rows").scalar() + nulls
+        return orphans(child, key, parent, parent_key, count_nulls=True).select("orphan_rows").scalar()
 
     events = raw.events.agg(
         F.count("*").alias("n"),
