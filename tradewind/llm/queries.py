@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tradewind.llm import exact, language, mixing, neardup, packing
+from tradewind.llm import exact, language, licenses, mixing, neardup, packing, private, rules, sites, toxicity
 
 TOKENIZER = {
     "json_path": public_tokenizers.path("byte_bpe_50k.json"),
@@ -34,6 +34,35 @@ def mixed(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents")).drop("shard")
 
 
+def license_notices(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, folder, "documents"))
+
+
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Learns from labels of ids whose CRC-32, as text, is no multiple of 5; the others are held out."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels, ~held_out))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def private_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return private.span_digest(private.find_private(table(spark, folder, "documents")))
+
+
+def document_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The source is a document's host; its texts of one language are a path of it."""
+    docs = table(spark, folder, "documents")
+    model = sites.fit_quality(docs, table(spark, folder, "labels"))
+    return sites.site_quality(docs, model, F.col("source"), F.col("lang"))
+
+
+def rule_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents labelled good are the trusted target."""
+    good = table(spark, folder, "labels").where("quality = 1").select("doc_id")
+    return rules.quality_rules(table(spark, folder, "documents"), good)
+
+
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"))
 
@@ -71,9 +100,14 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hilbert_packing": packed,
         "op2_source_mixing": mixed,
+        "op3_license_notices": license_notices,
+        "op4_toxicity": toxicity_scores,
+        "op5_private_spans": private_spans,
         "op6_near_duplicates": near_duplicates,
+        "op7_site_quality": document_quality,
         "op8_exact_duplicates": exact_duplicates,
         "op9_language_id": document_language,
+        "op10_quality_rules": rule_verdicts,
         "page_language_id": page_language,
         "pipeline": corpus_pipeline.run,
     }
