@@ -91,7 +91,7 @@ def _likelihoods(model: LanguageModel, evidence: float):
                 n = len(offsets) - 1
                 bucket, row = trigrams(data, offsets, buckets)
                 grams = np.bincount(row, minlength=n)
-                sums = np.stack([np.bincount(row, model.logp[bucket, i], n) for i in range(width)], 1)
+                sums = np.stack([np.bincount(row, model.logp[bucket, i], n) for i in range(width)], 1).astype(float)
                 sums *= np.minimum(1.0, evidence / np.maximum(grams, 1))[:, None]
                 sums -= sums.max(1, keepdims=True)
                 parts = np.exp(sums)

@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tradewind.llm.shared import connected_components, join_groups, stored, with_ids, without_ids
 from tradewind.llm.words import GOLDEN, mix, shingle_sets, text_chunks
 
 EMPTY = np.uint32(0xFFFFFFFF)
-FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>"
+FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
 def super_minhash(sets: list[np.ndarray], slots: int = 128) -> np.ndarray:
@@ -69,8 +69,7 @@ def _features(width: int, slots: int, bands: int):
         for batch in batches:
             for at, data, offsets in text_chunks(batch.column("text")):
                 sets = shingle_sets(data, offsets, width)
-                signatures = super_minhash(sets, slots)
-                keys = band_hashes(signatures, bands)
+                keys = band_hashes(super_minhash(sets, slots), bands)
                 with np.errstate(over="ignore"):
                     marks = [[int(mix(s ^ np.uint64(c)).sum(dtype=np.uint64).view(np.int64)) for s in sets] for c in (11, 77)]
                 yield pa.RecordBatch.from_arrays(
@@ -79,10 +78,9 @@ def _features(width: int, slots: int, bands: int):
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(marks[0], pa.int64()),
                         pa.array(marks[1], pa.int64()),
-                        pa.array([s.tobytes() for s in signatures], pa.binary()),
                         pa.array([k if len(s) else None for k, s in zip(keys, sets)], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "signature", "bands"],
+                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
     return run
@@ -101,55 +99,44 @@ def _sets(width: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Whole groups of equal (key, cell) out of batches sorted by these."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        if rest is not None:
-            table = pa.concat_tables([rest, table])
-        key, cell = table.column("key").to_numpy(), table.column("cell").to_numpy()
-        ends = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
-        for a, b in zip(np.concatenate(([0], ends[:-1])) if len(ends) else [], ends):
-            yield table.slice(a, b - a)
-        rest = table.slice(ends[-1] if len(ends) else 0)
-    if rest is not None:
-        yield rest
+def shingle_table(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles) of the documents whose ids are given."""
+    return with_ids(docs, ids, "doc_id").mapInArrow(_sets(width), "doc_id long, shingles array<long>")
 
 
-def _likely_pairs(least: float):
-    """Pairs of a bucket in different components whose signatures agree in at least that share of the slots."""
+def prefix_pairs(sets: DataFrame, components: DataFrame, part: int, whole: int) -> DataFrame:
+    """All pairs (id, other) in different components that could still reach `part`/`whole`.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
-            ids, comps = group.column("id").to_numpy(), group.column("component").to_numpy()
-            marks = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(len(ids), -1)
-            block = group.column("block").to_numpy()
-            a, b = [], []
-            for i in range(len(ids) - 1):
-                other = np.flatnonzero(comps[i + 1 :] != comps[i]) + i + 1
-                # a cell of two blocks leaves the pairs within a block to the cells of one block
-                if group.column("cell")[0].as_py() % 1_000_003 != 0:
-                    other = other[block[other] != block[i]]
-                if len(other):
-                    other = other[(marks[other] == marks[i]).mean(1) >= least]
-                    a += [ids[i]] * len(other)
-                    b += ids[other].tolist()
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["id", "other"])
-
-    return run
+    In whatever order all shingles are sorted, the smaller set of such a pair has one of its first
+    size - ceil(2 * size * part / (whole + part)) + 1 shingles among the first size - ceil(size * part / whole) + 1 of
+    the larger. Rare shingles come first, so a passage that many texts share pairs only those that could be near copies:
+    after the first shingle that two sets share, what is left of both must still be enough.
+    """
+    held = sets.join(components, "doc_id").select("doc_id", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    held = stored(held, "open_shingles")
+    known = held.join(held.groupBy("shingle").agg(F.count("*").alias("held_by")), "shingle")
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("held_by", "shingle"))
+    first = known.withColumn("place", place).where(
+        (F.col("place") <= F.col("size") - F.ceil(F.col("size") * part / whole) + 1) & (F.col("held_by") > 1)
+    )
+    first = stored(first.select("shingle", "doc_id", "component", "size", "place"), "prefixes")
+    short = F.col("place") <= F.col("size") - F.ceil(F.col("size") * 2 * part / (whole + part)) + 1
+    small = first.where(short).select("shingle", F.col("doc_id").alias("id"), F.col("component").alias("a"), F.col("size").alias("m"), F.col("place").alias("i"))
+    large = first.select("shingle", F.col("doc_id").alias("other"), F.col("component").alias("b"), F.col("size").alias("n"), F.col("place").alias("j"))
+    enough = f"(1 + least(m - i, n - j)) * {whole + part} >= {part} * (m + n)"
+    near = small.join(large, "shingle").where(f"a <> b and m * {whole} >= n * {part} and (m < n or m = n and id < other) and {enough}")
+    return near.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
 
 
 def verified_links(pairs: DataFrame, docs: DataFrame, width: int, part: int, whole: int) -> DataFrame:
     """The pairs (id, other) with `whole` * intersection >= `part` * union of their full shingle sets."""
     ids = pairs.select(F.col("id").alias("doc_id")).unionByName(pairs.select(F.col("other").alias("doc_id"))).distinct()
-    sets = stored(
-        with_ids(docs, stored(ids, "candidate_ids"), "doc_id").mapInArrow(_sets(width), "doc_id long, shingles array<long>"),
-        "candidate_sets",
-    )
+    sets = stored(shingle_table(docs, stored(ids, "candidate_ids"), width), "candidate_sets")
+    return confirmed(pairs, sets, part, whole)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
+    """The pairs that hold on the full sets of `sets`."""
     left = sets.select(F.col("doc_id").alias("id"), F.col("shingles").alias("a"))
     right = sets.select(F.col("doc_id").alias("other"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
@@ -171,8 +158,6 @@ def near_duplicates(
     whole: int = 100,
     slots: int = 128,
     bands: int = 32,
-    least_agreement: float = 0.55,
-    block_rows: int = 1024,
 ) -> DataFrame:
     """Connected groups of documents whose sets of `width`-word shingles overlap by `part`/`whole` or more.
 
@@ -182,12 +167,12 @@ def near_duplicates(
     kept. Other columns are not read; an empty table gives no rows.
 
     1. Rows with equal sets collapse into a class named by its smallest id, however many they are.
-    2. Each class spreads the hashes of its `bands` bands. A bucket links its members to one hub, the member that comes
-       first in an order common to all buckets, so that a group of thousands gives a few pairs per member.
+    2. Each class spreads the hashes of its `bands` bands. A bucket links its members to two hubs: the member with the
+       lowest id and the one that meets most others over all its buckets, which in a group of variants is the text
+       they vary. So a group of thousands gives a few pairs per member, not all its pairs.
     3. Links are confirmed on the full sets; components are found by star contraction.
-    4. Buckets that still hold members of different components are compared inside: members in blocks of
-       `block_rows`, two blocks at a time, and only pairs whose signatures agree in `least_agreement` of the slots
-       (a true link misses that with a probability below 1e-6) go to the same confirmation.
+    4. The members of buckets that still hold several components are compared across components by a prefix filter over
+       their full sets, which loses no link, and confirmed in the same way.
 
     With 32 bands of 4 slots a pair at the limit of 0.75 shares no bucket with a probability of 5e-6.
     """
@@ -204,42 +189,28 @@ def near_duplicates(
         ["n_shingles", "set_a", "set_b", "doc_id"],
         "left_semi",
     )
-    shown = stored(shown.select(F.col("doc_id").alias("id"), "signature", "bands"), "representatives")
+    shown = stored(shown.select(F.col("doc_id").alias("id"), "bands"), "representatives")
     spread = shown.select("id", F.explode("bands").alias("key"))
-    first = F.min(F.struct(F.xxhash64("id").alias("order"), F.col("id").alias("hub")))
-    buckets = spread.groupBy("key").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
-    members = stored(spread.join(buckets.select("key", "first.hub", "n"), "key"), "bucket_members")
-    stars = members.where("id <> hub").select("id", F.col("hub").alias("other")).distinct()
-    links = stored(verified_links(stored(stars, "star_pairs"), named, width, part, whole), "star_links")
+    buckets = spread.groupBy("key").agg(F.min("id").alias("lowest"), F.count("*").alias("n")).where("n > 1")
+    members = stored(spread.join(buckets, "key"), "bucket_members")
+    degrees = members.groupBy("id").agg(F.sum("n").alias("degree"))
+    central = members.join(degrees, "id").groupBy("key").agg(F.max(F.struct("degree", "id")).alias("top"))
+    hubs = members.join(central.select("key", F.col("top.id").alias("central")), "key")
+    stars = hubs.select("id", F.explode(F.array("central", "lowest")).alias("other")).where("id <> other")
+    stars = stars.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
+    stars = stored(stars, "star_pairs")
+    links = stored(verified_links(stars, named, width, part, whole), "star_links")
     components = connected_components(links, "id", "other")
 
     placed = members.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = stored(placed.select("key", "id", "component", "n"), "placed_members")
+    placed = stored(placed.select("key", "id", "component"), "placed_members")
     mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    blocks = F.ceil(F.col("n") / block_rows).cast("long")
-    open_members = (
-        placed.join(mixed.select("key"), "key", "left_semi")
-        .withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        # cell: the pair of blocks (low, high), told by 1000003 * low + (high - low)
-        .withColumn("with_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn(
-            "cell",
-            F.least("block", "with_block") * 1_000_003 + F.abs(F.col("block") - F.col("with_block")),
-        )
-        .join(shown.select("id", "signature"), "id")
-        .select("key", "cell", "block", "id", "component", "signature")
-    )
-    likely = (
-        open_members.repartition("key", "cell")
-        .sortWithinPartitions("key", "cell", "id")
-        .mapInArrow(_likely_pairs(least_agreement), "id long, other long")
-        .select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"))
-        .distinct()
-    )
-    likely = stored(likely, "likely_pairs")
-    if not likely.isEmpty():
-        more = stored(verified_links(likely, named, width, part, whole), "more_links")
+    unsettled = placed.join(mixed.select("key"), "key", "left_semi").select(F.col("id").alias("doc_id"), "component").distinct()
+    unsettled = stored(unsettled, "unsettled")
+    sets = stored(shingle_table(named, unsettled.select("doc_id"), width), "unsettled_sets")
+    likely = stored(prefix_pairs(sets, unsettled, part, whole).join(stars, ["id", "other"], "left_anti"), "likely_pairs")
+    more = stored(confirmed(likely, sets, part, whole), "more_links")
+    if not more.isEmpty():
         components = connected_components(links.unionByName(more), "id", "other")
 
     class_of = classes.select("n_shingles", "set_a", "set_b", "class_id", "n_rows").join(
