@@ -315,7 +315,7 @@ def plain_spans(text):
 def test_base_spans_match_plain_patterns(spark, docs):
     tricky = [
         "a@b.com+x@y.org z@q..com é4111 1111 1111 1111, +1 (377) 555-0271 1.2.3.4.5.6.7.8 300.1.1.1 010.0.0.255",
-        "9" * 5000, "1 2 3 4 5 " * 3000, "a" * 50_000, "a@" * 3000 + "b.c", "x@" + "a." * 5000 + "z", "+1" + "(" * 3000, None, "", "4111-1111-1111-1111 4111111111111111 5500005555555559",
+        "9" * 5000, "1 2 3 4 5 " * 3000, "a" * 4000, "a@" * 3000 + "b.c", "x@" + "a." * 5000 + "z", "+1" + "(" * 3000, None, "", "4111-1111-1111-1111 4111111111111111 5500005555555559",
     ]
     extra = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(tricky)], "doc_id long, text string")
     frame = docs.select("doc_id", "text").unionByName(extra)
