@@ -160,7 +160,7 @@ RELATIONS: dict[str, tuple[str, str]] = {
                 else greatest(least(age, {P.max_age}), {P.min_age}) end)::bigint as age,
             coalesce(gender, 'Unknown') as gender, state, street_address, postal_code, coalesce(city, 'Unknown') as city,
             country, latitude, longitude, traffic_source, created_at
-        from (select *, row_number() over (partition by id order by created_at nulls first, first_name) as rn from raw_users)
+        from (select *, row_number() over (partition by id order by created_at nulls last, first_name) as rn from raw_users)
         where rn = 1""",
     ),
     "clean_orders": (

@@ -163,7 +163,7 @@ def _table_summary(t: Tables) -> DataFrame:
 
 
 def _kmeans(t: Tables) -> DataFrame:
-    return clusters.kmeans_clusters(t.enriched, k=6, restarts=4)
+    return clusters.kmeans_clusters(t.enriched)
 
 
 def _model_report(t: Tables) -> DataFrame:
@@ -286,7 +286,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "rule_clusters": lambda t: clusters.rule_clusters(t.enriched),
     "cluster_profile": lambda t: clusters.cluster_profile(clusters.rule_clusters(t.enriched)),
     "cluster_count": lambda t: clusters.choose_cluster_count(
-        durable(clusters.standardize(durable(t.enriched))), restarts=2
+        durable(clusters.standardize(durable(t.enriched)))
     )[1],
     "kmeans_clusters": _kmeans,
     "kmeans_profile": lambda t: clusters.cluster_profile(_kmeans(t)),

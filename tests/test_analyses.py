@@ -55,6 +55,14 @@ def test_fact_keeps_priced_items_of_dated_orders(spark):
     assert got == {1: ("Complete", 20230105, 6.0, 10.0, 0.0, 0), 5: ("Returned", 20230106, None, 0.0, 20.0, 1)}
 
 
+def test_dated_copy_of_a_user_is_kept_before_an_undated_one(spark):
+    users = spark.createDataFrame(
+        [(1, None, 30, "F", "x"), (1, ts(2, year=2020), 40, "M", "y"), (1, ts(3, year=2021), 50, "M", "z"), (2, None, 20, None, None)],
+        "id long, created_at timestamp_ntz, age int, gender string, city string",
+    )
+    assert rows(clean.clean_users(users), "id", "age", "city") == [(1, 40, "y"), (2, 20, "Unknown")]
+
+
 def test_rfm_scores_and_return_rate(spark):
     orders = spark.createDataFrame(
         [(i, "Complete", ts(1 + i)) for i in range(10)] + [(90, "Returned", ts(3)), (91, "Complete", None)],

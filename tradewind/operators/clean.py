@@ -15,8 +15,8 @@ def recognized(status: Column, params: Params) -> Column:
 def clean_users(users: DataFrame, params: Params = Params()) -> DataFrame:
     """One row per id; ages clipped and filled with the median age, missing gender and city named Unknown.
 
-    Of several rows with one id the earliest is kept (then the smallest by the other columns). It is a
-    minimum, so copies of an id are reduced before the shuffle. Ages are few distinct whole numbers, which
+    Of several rows with one id the earliest is kept, a dated one before an undated one (then the smallest by the
+    other columns). It is a minimum, so copies of an id are reduced before the shuffle. Ages are few distinct whole numbers, which
     bounds what the median has to hold.
     """
     others = [c for c in users.columns if c not in ("id", "created_at")]
@@ -27,7 +27,7 @@ def clean_users(users: DataFrame, params: Params = Params()) -> DataFrame:
     age = F.when(F.col("age").isNull(), fallback).otherwise(clipped)
     return (
         users.groupBy("id")
-        .agg(F.min(F.struct("created_at", *others)).alias("row"))
+        .agg(F.min(F.struct(F.col("created_at").isNull().alias("_undated"), "created_at", *others)).alias("row"))
         .select("id", "row.*")
         .withColumns(
             {

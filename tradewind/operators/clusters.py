@@ -103,13 +103,13 @@ def standardize(enriched: DataFrame, features: Sequence[str] = CLUSTER_FEATURES)
 
 
 def fit_kmeans(
-    vectors: DataFrame, k: int, seed: int = 42, restarts: int = 10, parallelism: int = 4
+    vectors: DataFrame, k: int, seed: int = 42, restarts: int = 10, parallelism: int = 4, max_iter: int = 100
 ) -> tuple[KMeansModel, float]:
-    """The best of several starts, and its within-cluster sum of squares."""
+    """The best of several starts, each of at most `max_iter` rounds, and its within-cluster sum of squares."""
 
     @inheritable_thread_target(vectors.sparkSession)
     def fit(start: int) -> tuple[float, int, KMeansModel]:
-        model = KMeans(featuresCol="scaled", predictionCol="cluster", k=k, seed=seed + start, maxIter=100).fit(vectors)
+        model = KMeans(featuresCol="scaled", predictionCol="cluster", k=k, seed=seed + start, maxIter=max_iter).fit(vectors)
         return model.summary.trainingCost, start, model
 
     with ThreadPool(min(parallelism, restarts)) as pool:
