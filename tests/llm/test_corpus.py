@@ -11,6 +11,7 @@ from pyspark.sql import functions as F, types as T
 
 import corpus_pipeline
 from tradewind.llm import exact, language, licenses, mixing, neardup, packing, private, queries, rules, sites, toxicity
+from tradewind.llm.shared import connected_components
 from tradewind.llm.words import shingle_sets
 
 SF = "/root/testdata/sf0.001"
@@ -104,6 +105,18 @@ def test_group_of_variants_is_one_component(spark):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(frame).collect()} == expected
 
 
+def test_components_are_the_smallest_ids_reachable(spark):
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (70, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(1, 30)]
+    root = {n: n for e in edges for n in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    found = connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+    centers = set(root.values())
+    assert {r.id: r.component for r in found} == {n: c for n, c in root.items() if n not in centers}
+
+
 def test_super_minhash_estimates_overlap():
     rng = np.random.default_rng(3)
     for n in (5, 60, 900):

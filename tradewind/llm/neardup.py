@@ -105,7 +105,7 @@ def shingle_table(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 
 def prefix_pairs(sets: DataFrame, components: DataFrame, part: int, whole: int) -> DataFrame:
-    """All pairs (id, other) in different components that could still reach `part`/`whole`.
+    """All pairs (id, other) in different components, `from` and `to`, that could still reach `part`/`whole`.
 
     In whatever order all shingles are sorted, the smaller set of such a pair has one of its first
     size - ceil(2 * size * part / (whole + part)) + 1 shingles among the first size - ceil(size * part / whole) + 1 of
@@ -125,7 +125,8 @@ def prefix_pairs(sets: DataFrame, components: DataFrame, part: int, whole: int)
     large = first.select("shingle", F.col("doc_id").alias("other"), F.col("component").alias("b"), F.col("size").alias("n"), F.col("place").alias("j"))
     enough = f"(1 + least(m - i, n - j)) * {whole + part} >= {part} * (m + n)"
     near = small.join(large, "shingle").where(f"a <> b and m * {whole} >= n * {part} and (m < n or m = n and id < other) and {enough}")
-    return near.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
+    ends = [F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")]
+    return near.select(*ends, F.col("a").alias("from"), F.col("b").alias("to")).distinct()
 
 
 def verified_links(pairs: DataFrame, docs: DataFrame, width: int, part: int, whole: int) -> DataFrame:
@@ -136,16 +137,17 @@ def verified_links(pairs: DataFrame, docs: DataFrame, width: int, part: int, who
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
-    """The pairs that hold on the full sets of `sets`."""
+    """The pairs, with what else their rows have, that hold on the full sets of `sets`."""
+    rest = [c for c in pairs.columns if c not in ("id", "other")]
     left = sets.select(F.col("doc_id").alias("id"), F.col("shingles").alias("a"))
     right = sets.select(F.col("doc_id").alias("other"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     return (
         pairs.join(left, "id")
         .join(right, "other")
-        .select("id", "other", both.alias("both"), (F.size("a") + F.size("b")).alias("sum"))
+        .select("id", "other", *rest, both.alias("both"), (F.size("a") + F.size("b")).alias("sum"))
         .where(F.col("both") * whole >= (F.col("sum") - F.col("both")) * part)
-        .select("id", "other")
+        .select("id", "other", *rest)
     )
 
 
@@ -172,7 +174,7 @@ def near_duplicates(
        they vary. So a group of thousands gives a few pairs per member, not all its pairs.
     3. Links are confirmed on the full sets; components are found by star contraction.
     4. The members of buckets that still hold several components are compared across components by a prefix filter over
-       their full sets, which loses no link, and confirmed in the same way.
+       their full sets, which loses no link, and confirmed in the same way; the components that meet so are joined.
 
     With 32 bands of 4 slots a pair at the limit of 0.75 shares no bucket with a probability of 5e-6.
     """
@@ -210,14 +212,16 @@ def near_duplicates(
     sets = stored(shingle_table(named, unsettled.select("doc_id"), width), "unsettled_sets")
     likely = stored(prefix_pairs(sets, unsettled, part, whole).join(stars, ["id", "other"], "left_anti"), "likely_pairs")
     more = stored(confirmed(likely, sets, part, whole), "more_links")
-    if not more.isEmpty():
-        components = connected_components(links.unionByName(more), "id", "other")
+    # components that a further link joins: only they are contracted again, each as one node
+    merged = connected_components(more.select("from", "to").distinct(), "from", "to")
 
     class_of = classes.select("n_shingles", "set_a", "set_b", "class_id", "n_rows").join(
         components.select(F.col("id").alias("class_id"), "component"), "class_id", "left"
     )
+    class_of = class_of.withColumn("component", F.coalesce("component", "class_id"))
+    class_of = class_of.join(merged.select(F.col("id").alias("component"), F.col("component").alias("joined")), "component", "left")
     class_of = stored(
-        class_of.select("n_shingles", "set_a", "set_b", F.coalesce("component", "class_id").alias("component_id"), "n_rows"), "class_components"
+        class_of.select("n_shingles", "set_a", "set_b", F.coalesce("joined", "component").alias("component_id"), "n_rows"), "class_components"
     )
     out = join_groups(real, class_of, ["n_shingles", "set_a", "set_b"], "n_rows", real.count()).select("doc_id", "n_shingles", "component_id")
     lone = plain.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -88,19 +88,20 @@ def text_or_empty(column: str) -> Column:
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(id, component): the smallest id reachable, for every id that has an edge.
+    """(id, component): the smallest id reachable, for every id that can reach a smaller one.
 
-    Alternates two kinds of star contraction until the edges are a forest of stars; every round is two aggregations
-    and two joins on the edges, and the number of rounds grows with the logarithm of the longest path.
+    Alternates two kinds of star contraction until the edges are a forest of stars, which one aggregation by node
+    tells; every round is two aggregations and two joins on the edges, and the number of rounds grows with the logarithm
+    of the longest path.
     """
     edge = [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
     current = stored(edges.where(F.col(a) != F.col(b)).select(*edge).distinct(), "edges")
-    before = None
     while True:
-        state = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before or not state[0]:
+        ends = F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out")))
+        nodes = current.select(F.inline(ends)).groupBy("node").agg(F.sum("out").alias("out"), F.min("out").alias("least"))
+        # a star's leaf has one edge, to its center, which is no leaf
+        if nodes.where("out > 1 or (out > 0 and least = 0)").isEmpty():
             return current.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        before = state
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
