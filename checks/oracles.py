@@ -11,7 +11,7 @@ from tradewind.sources.adapter import ADAPTER_PARAMS as P
 
 # Expressions with the same arithmetic as tradewind.functions.numeric and temporal.
 def tot(x: str) -> str:
-    return f"(coalesce(sum(round_even(({x}) * 1e6, 0)), 0.0) / 1e6)"
+    return f"(coalesce(sum(round_even(({x}) * 1e6, 0)::decimal(28,0))::double, 0.0) / 1e6)"
 
 
 def tot_if(test: str, x: str) -> str:
@@ -19,7 +19,7 @@ def tot_if(test: str, x: str) -> str:
 
 
 def tot_over(x: str, window: str) -> str:
-    return f"(coalesce(sum(round_even(({x}) * 1e6, 0)) over ({window}), 0.0) / 1e6)"
+    return f"(coalesce((sum(round_even(({x}) * 1e6, 0)::decimal(28,0)) over ({window}))::double, 0.0) / 1e6)"
 
 
 def mean(x: str) -> str:
@@ -1140,12 +1140,15 @@ _SQL: dict[str, tuple[str, str]] = {
             {tot('forecast_revenue')} as next12_revenue_forecast, {tot('forecast_profit')} as next12_profit_forecast from outlook group by all""",
     ),
     "table_summary": (
-        "fact funnel_monthly fact_stock raw_products raw_centers",
+        "fact funnel_monthly fact_stock dim_users raw_products raw_centers raw_orders",
         """select 'fact_transactions' as "table", count(*) as rows, 19::int as columns, min(created_at::date)::varchar as min_date, max(created_at::date)::varchar as max_date from fact
         union all select 'agg_funnel_monthly', count(*), 5, min(year_month), max(year_month) from funnel_monthly
         union all select 'fact_inventory', count(*), 12, null, null from fact_stock
+        union all select 'dim_users', count(*), 18, null, null from dim_users
         union all select 'dim_products', count(*), 6, null, null from raw_products
-        union all select 'dim_dcs', count(*), 4, null, null from raw_centers""",
+        union all select 'dim_dcs', count(*), 4, null, null from raw_centers
+        union all select 'dim_date', date_diff('day', min(created_at)::date, max(created_at)::date) + 1, 8,
+            min(created_at)::date::varchar, max(created_at)::date::varchar from raw_orders""",
     ),
     "order_value_kpis": (
         "fact fact_stock",

@@ -156,8 +156,10 @@ def _table_summary(t: Tables) -> DataFrame:
             row("fact_transactions", fact, F.min(day), F.max(day)),
             row("agg_funnel_monthly", t.funnel_monthly, F.min("year_month"), F.max("year_month")),
             row("fact_inventory", t.fact_inventory, none, none),
+            row("dim_users", t.dim_users, none, none),
             row("dim_products", t.dim_products, none, none),
             row("dim_dcs", t.dim_dcs, none, none),
+            row("dim_date", _dim_date(t), F.min("date"), F.max("date")),
         ]
     )
 

@@ -142,3 +142,14 @@ def test_durable_uses_the_configured_folder(spark):
     df = durable(spark.range(10))
     assert rows(df) == [(i,) for i in range(10)]
     assert spark.sparkContext.getCheckpointDir()
+
+
+def test_totals_past_nine_billion_do_not_depend_on_the_partitions(spark):
+    from decimal import Decimal
+
+    cents = F.pmod(F.xxhash64("id"), F.lit(25_000_000))
+    amounts = spark.range(200_000).select((cents / 100).alias("v"), F.xxhash64("id", F.lit(1)).alias("h"), cents.alias("cents"))
+    exact = Decimal(amounts.agg(F.sum("cents")).first()[0]) / 100
+    assert exact > 9_007_199_254
+    found = {amounts.repartition(n, "h").agg(numeric.total("v")).first()[0] for n in (1, 3, 7, 16)}
+    assert found == {float(exact)}

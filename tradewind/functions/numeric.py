@@ -11,19 +11,26 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def _micros(value: Column | str) -> Column:
+    return F.rint(col(value) * MICRO).cast("decimal(28,0)")
+
+
+def _amount(micros: Column) -> Column:
+    return F.coalesce((micros / F.lit(int(MICRO)).cast("decimal(7,0)")).cast("double"), F.lit(0.0))
+
+
 def total(value: Column | str) -> Column:
     """Sum of an amount, 0 when there is nothing to sum.
 
-    Each amount is first turned into a whole number of micro-units. Whole numbers add up exactly in a
-    double (to 2**53 micro-units, about nine billion; past that with ordinary float error), so the
-    result does not depend on the order in which tasks are merged or retried.
+    Each amount is first turned into a whole number of micro-units. These add up as decimals of 38 digits, exactly
+    at any size, so the result does not depend on the order in which tasks are merged or retried.
     """
-    return F.coalesce(F.sum(F.rint(col(value) * MICRO)), F.lit(0.0)) / MICRO
+    return _amount(F.sum(_micros(value)))
 
 
 def total_over(value: Column | str, window: WindowSpec) -> Column:
     """`total` over a window."""
-    return F.coalesce(F.sum(F.rint(col(value) * MICRO)).over(window), F.lit(0.0)) / MICRO
+    return _amount(F.sum(_micros(value)).over(window))
 
 
 def mean(value: Column | str) -> Column:
