@@ -307,6 +307,13 @@ def test_rules_match_brute_force(which, request, spark):
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept)
 
 
+def test_every_trusted_text_counts(spark):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("alpha").alias("text"))
+    good = docs.where("doc_id < 24000").select(F.col("doc_id").cast("int")).unionByName(spark.createDataFrame([(5,), (None,), (77_777,)], "doc_id int"))
+    scores = {round(r.score, 9) for r in rules.quality_rules(docs, good).collect()}
+    assert scores == {round(float(np.log(24_001 / (24_000 + 16_384)) - np.log(30_001 / (30_000 + 16_384))), 9)}
+
+
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tradewind.llm.shared import stored, text_or_empty
+from tradewind.llm.shared import id_bitmap, may_be_in, stored, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,12 +43,20 @@ def grams(words: Column, buckets: int) -> Column:
     return F.concat(single, pairs)
 
 
-def ratio_weights(docs: DataFrame, trusted: DataFrame, buckets: int, alpha: float) -> DataFrame:
-    """One row `weights`: per bucket log P(trusted) - log P(raw), from all n-grams of both; a table of fixed size."""
-    count = lambda df, name: df.select(F.explode_outer("grams").alias("bucket")).where("bucket is not null").groupBy("bucket").agg(F.count("*").alias(name))
-    both = stored(count(docs, "raw").join(count(trusted, "good"), "bucket", "full"), "gram_counts")
+def with_trust(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
+    """`docs` with `trusted`: whether the id is among `trusted_ids` (one column, distinct). Most other rows are not shuffled."""
+    marked = may_be_in(docs, id_bitmap(trusted_ids, "doc_id"), "doc_id")
+    clear = marked.where(~F.col("_maybe")).drop("_maybe").withColumn("trusted", F.lit(False))
+    joined = marked.where("_maybe").drop("_maybe").join(trusted_ids.withColumn("trusted", F.lit(True)), "doc_id", "left")
+    return clear.unionByName(joined.withColumn("trusted", F.coalesce("trusted", F.lit(False))))
+
+
+def ratio_weights(spread: DataFrame, buckets: int, alpha: float) -> DataFrame:
+    """One row `weights`: per bucket log P(trusted) - log P(raw), from all n-grams of all rows; a table of fixed size."""
+    listed = spread.select("trusted", F.explode("grams").alias("bucket"))
+    both = stored(listed.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("good")), "gram_counts")
     filled = F.broadcast(both)  # one row a bucket at most
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(filled, "bucket", "left")
+    every = spread.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(filled, "bucket", "left")
     raw, good = (F.coalesce(c, F.lit(0)) for c in ("raw", "good"))
     sums = both.agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).first()
     n_raw, n_good = (float(sums[c] or 0) + alpha * buckets for c in ("raw", "good"))
@@ -66,25 +74,23 @@ def quality_rules(
     text_col: str = "text",
     buckets: int = 1 << 14,
     alpha: float = 1.0,
-    max_trusted: int = 20_000,
     least: float = -0.15,
 ) -> DataFrame:
     """Counts of each whole text, two fixed rules and the verdict of a likelihood ratio.
 
-    `trusted_ids` has one column of ids; at most `max_trusted` of them, those that hash lowest, make the trusted target.
-    Single words and pairs of neighbours are hashed to `buckets`; the target's and the raw corpus's multinomials are
+    `trusted_ids` has one column of ids; the documents of all of them make the trusted target. Single words and pairs of neighbours are hashed to `buckets`; the target's and the raw corpus's multinomials are
     smoothed by `alpha`. A text's score is the mean log ratio of its n-grams, 0 without any. Kept: neither rule fails
     (fewer than 50 words; more than half of the words in repeated windows) and the score is `least` or more.
 
     Null texts are empty: no words, not kept. Without a trusted text every score is 0. Repeated rows are judged each by
     itself; other columns are not read; an empty table gives no rows.
     """
-    text = text_or_empty(text_col)
-    split = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
-    spread = split.select("doc_id", grams(F.col("words"), buckets).alias("grams"))
-    chosen = trusted_ids.toDF("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(31)), "doc_id").limit(max_trusted)
-    trusted = spread.join(F.broadcast(chosen), "doc_id")  # max_trusted ids at most
-    weights = ratio_weights(spread, trusted, buckets, alpha).scalar()
+    named = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words")
+    split = named.select("doc_id", "text", words)
+    trusted = trusted_ids.toDF("doc_id").select(F.col("doc_id").cast(named.schema["doc_id"].dataType)).where("doc_id is not null").distinct()
+    spread = with_trust(named, stored(trusted, "trusted_ids")).select("trusted", words).select("trusted", grams(F.col("words"), buckets).alias("grams"))
+    weights = ratio_weights(spread, buckets, alpha).scalar()
 
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     counted = split.select(

@@ -40,7 +40,7 @@ def id_bitmap(ids: DataFrame, column: str) -> DataFrame:
     )
 
 
-def _may_be_in(df: DataFrame, bitmap: DataFrame, column: str) -> DataFrame:
+def may_be_in(df: DataFrame, bitmap: DataFrame, column: str) -> DataFrame:
     """`df` with `_maybe`: false only where the id is certainly not among the bitmap's."""
     h = F.pmod(F.xxhash64(F.col(column)), F.lit(BITMAPS * BITS))
     byte = F.conv(F.hex(F.substring("_bits", F.expr(f"cast((_h % {BITS}) div 8 + 1 as int)"), 1)), 16, 10).cast("int")
@@ -57,13 +57,13 @@ def _may_be_in(df: DataFrame, bitmap: DataFrame, column: str) -> DataFrame:
 def with_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows of `df` whose id is among `ids` (one column, distinct). Most others never reach the shuffle."""
     return (
-        _may_be_in(df, id_bitmap(ids, column), column).where("_maybe").drop("_maybe").join(ids, column, "left_semi")
+        may_be_in(df, id_bitmap(ids, column), column).where("_maybe").drop("_maybe").join(ids, column, "left_semi")
     )
 
 
 def without_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows of `df` whose id is not among `ids`; rows without an id stay. Most rows pass without a shuffle."""
-    marked = _may_be_in(df, id_bitmap(ids, column), column)
+    marked = may_be_in(df, id_bitmap(ids, column), column)
     clear = marked.where(~F.col("_maybe")).drop("_maybe")
     return clear.unionByName(marked.where("_maybe").drop("_maybe").join(ids, column, "left_anti"))
 
