@@ -350,6 +350,26 @@ def test_private_spans_of_odd_rows(odd, empty):
     assert private.find_private(odd).count() == len(ODD) and private.find_private(empty).count() == 0
 
 
+@pytest.mark.parametrize("rate", [0.03, 0.5, 1.0])
+def test_planted_wide_forms_are_added(spark, rate):
+    wide = ["name{} (at) host dot com", "jo{}@mail (dot) org", "10 . 20 . {} . 7", "2001:db8:0:1:2:3:4:{}", "4111.1111/1111.1111", "(377) 555-02{:02}", "001 377 555 02{:02}"]
+    base = ["n{}@host.com", "10.20.{}.7", "4111 1111 1111 1111", "+1 (377) 555-02{:02}"]
+    rows, planted = [], {}
+    for i in range(400):
+        hit = i % 100 < 100 * rate
+        form = (wide[i % 100 % 7] if hit else base[i % 4]).format(i % 90)
+        rows.append((i, f"we wrote to {form} today, order 1700000{i:03} came @ 3.50 each"))
+        planted[i] = (form, hit)
+    found = private.span_digest(private.find_private(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    missed = [planted[r.doc_id] for r in found if not any(s.split(":")[1:] == ["12", str(12 + len(planted[r.doc_id][0]))] for s in r.spans.split(",") if s)]
+    assert not missed and all(r.n_added == planted[r.doc_id][1] for r in found)
+
+
+def test_private_spans_do_not_depend_on_layout(spark, docs):
+    one, other = (private.span_digest(private.find_private(d.select("doc_id", "text"))) for d in (docs.coalesce(1), docs.repartition(7, "n_chars")))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+
+
 def test_shingles_are_distinct_windows():
     data = np.frombuffer(b"a b c d e f a b c d eshort x", np.uint8)
     sets = shingle_sets(data, np.array([0, 21, 21, 28]), 5)
