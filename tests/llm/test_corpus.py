@@ -238,6 +238,16 @@ def test_language_is_found_without_the_declared_one(docs, odd, empty):
     assert nothing.languages == () and all(r.kept for r in language.identify_language(odd, nothing).collect())
 
 
+def test_every_label_has_a_model(spark):
+    word = lambda i: f"{chr(97 + i // 9)}{chr(107 + i % 9)}" * 4
+    tail = spark.createDataFrame([(i, f"{word(i)} {word(i)[::-1]} " * 3, f"l{i}") for i in range(70)], "doc_id long, text string, lang string")
+    bulk = spark.range(100, 20_000).select(F.col("id").alias("doc_id"), F.lit(PROSE).alias("text"), F.lit("en").alias("lang"))
+    model = language.fit_language_model(bulk.unionByName(tail), "text", "lang", "doc_id")
+    assert set(model.languages) == {"en", *(f"l{i}" for i in range(70))}
+    found = {r.doc_id: r.language for r in language.identify_language(tail, model).collect()}
+    assert found == {i: f"l{i}" for i in range(70)}
+
+
 def test_licenses_are_found_with_spans(spark, odd, empty):
     grant = licenses.TEMPLATES["MIT-text"]
     changed = grant.replace("without limitation ", "").replace("Software", "Program", 1)

@@ -42,17 +42,21 @@ def trigrams(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.nd
 
 
 def fit_language_model(
-    labelled: DataFrame, text_col: str, lang_col: str, id_col: str, max_rows: int = 8192, buckets: int = 1 << 15, alpha: float = 0.05, max_languages: int = 64
+    labelled: DataFrame, text_col: str, lang_col: str, id_col: str, max_rows: int = 8192, buckets: int = 1 << 15, alpha: float = 0.05, least_rows: int = 64
 ) -> LanguageModel:
-    """A model from at most `max_rows` labelled rows (those whose ids hash lowest), whole texts.
+    """A model of every label, from whole texts of about `max_rows` labelled rows, an equal part of them for each label.
 
-    Trigrams are counted where the rows are; what reaches the driver is one number per language and bucket at most.
-    The `max_languages` most frequent labels of the sample are kept.
+    A label has `least_rows` in any case, or all its rows if they are fewer. Of the others' rows those are taken whose
+    id and text hash below the wanted share, so no row is sorted. Trigrams are counted where the rows are; what reaches
+    the driver is one number per language and bucket at most.
     """
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    chosen = usable.select(F.col(id_col).alias("pick")).orderBy(F.xxhash64("pick", F.lit(7)), "pick").limit(max_rows).distinct()
     rows = usable.select(F.col(id_col).alias("pick"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.join(F.broadcast(chosen), "pick").select("lang", "text")  # max_rows ids at most
+    sizes = stored(rows.groupBy("lang").agg(F.count("*").alias("rows")), "labelled_rows")
+    quota = max(max_rows // max(sizes.count(), 1), least_rows)
+    wanted = sizes.select("lang", (F.lit(float(quota)) / F.col("rows")).alias("share"))
+    place = F.pmod(F.xxhash64("pick", "text", F.lit(7)), F.lit(1 << 31)) / float(1 << 31)
+    rows = rows.join(F.broadcast(wanted), "lang").where(place < F.col("share")).select("lang", "text")  # one row a label
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -71,8 +75,7 @@ def fit_language_model(
             )
 
     counts = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    sizes = counts.groupby("lang")["n"].sum().sort_values(ascending=False)
-    languages = tuple(sorted(sizes.index[:max_languages]))
+    languages = tuple(sorted(counts["lang"].unique()))
     table = np.zeros((buckets, len(languages)))
     for i, lang in enumerate(languages):
         own = counts[counts["lang"] == lang]
