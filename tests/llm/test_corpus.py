@@ -260,6 +260,15 @@ def test_licenses_are_found_with_spans(spark, odd, empty):
     assert licenses.find_licenses(odd).count() == 0 and licenses.find_licenses(empty).count() == 0
 
 
+def test_broken_and_repeated_licenses_are_found(spark):
+    grant = licenses.TEMPLATES["MIT-text"].split()
+    clause = " ".join(f"w{i}" for i in range(20))
+    drift = " ".join(w + (" br br br br br" if i % 20 == 19 else "") for i, w in enumerate(grant))
+    rows = [(1, " ".join([*grant[:45], clause, *grant[45:]])), (2, drift), (3, "Released under the MIT License.\n" * 40), (4, "Released under the MIT License. * " * 3 + "x Released under the MIT License.")]
+    found = licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.license, r.coverage) for r in found) == {(1, "MIT-text", 1.0): 1, (2, "MIT-text", 1.0): 1, (3, "MIT", 1.0): 40, (4, "MIT", 1.0): 4}
+
+
 def test_swapped_identity_terms_score_alike(spark, odd, empty):
     rows = [(i, f"the {'muslims' if i % 3 else 'christians'} are {'scum' if i % 2 and i % 3 else 'here'} today {i}") for i in range(300)]
     labels = spark.createDataFrame([(i, int("scum" in t)) for i, t in rows], "doc_id long, toxic int")

@@ -100,6 +100,39 @@ class Index:
         return np.repeat(at, many), self.template[entry], self.place[entry]
 
 
+def chains(place: np.ndarray, spot: np.ndarray, reach: int, k: int) -> list[tuple[int, int, int, int]]:
+    """Candidates of one template from its hits in one text: lowest and highest diagonal, and the words each may use.
+
+    A hit continues the chain that ends before it in text and template, with the nearest diagonal, at most `reach` away;
+    without one it begins a chain, as a new copy does. Of the text a chain leaves out what chains before and after it with
+    as many hits hold.
+    """
+    found: list[list[tuple[int, int]]] = []
+    last = 0
+    for at, here in sorted(zip(place.tolist(), spot.tolist())):
+        near = [(abs(at - here - c[-1][0] + c[-1][1]), i) for i, c in enumerate(found[last:], last) if c[-1][0] < at and c[-1][1] < here]
+        if near and min(near)[0] <= reach:
+            found[min(near)[1]].append((at, here))
+        else:
+            found.append([(at, here)])
+        while found[last][-1][0] + 2 * reach < at:
+            last += 1  # too far back to go on
+    out = []
+    for i, c in enumerate(found):
+        low, high, size = 0, np.iinfo(np.int64).max, len(c)
+        for o in reversed(found[:i]):
+            if len(o) >= size and o[-1][0] < c[0][0]:
+                low = o[-1][0] + k
+                break
+        for o in found[i + 1 :]:
+            if len(o) >= size and o[0][0] > c[-1][0]:
+                high = o[0][0]
+                break
+        diagonals = [at - here for at, here in c]
+        out.append((min(diagonals), max(diagonals), min(low, c[0][0]), high))
+    return out
+
+
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
     """Words matched by the best alignment within `band` of the diagonal, and the text's words from and to there.
 
@@ -145,8 +178,9 @@ def find_licenses(
 
     Words are runs of letters and digits, A-Z lower-cased. The templates' k-grams of words are thinned by winnowing over
     `window` neighbours and kept in an inverted index, which is part of the code and so of fixed size; `k` + `window` - 1
-    words in a row are never missed. Every k-gram of the whole text is looked up. Hits of a template near one diagonal
-    are one candidate; its words are aligned with the text's within `band` words of that diagonal. A candidate with
+    words in a row are never missed. Every k-gram of the whole text is looked up. Hits of a template that continue
+    each other in text and template, with at most `band` words or the template's length between, are one candidate; its
+    words are aligned with the text's within `band` words of its own diagonals. A candidate with
     `least` of its words matched is reported; one that lies within another of higher coverage times length is not.
 
     Null, empty and short texts have no notices. Repeated rows report each by itself; other columns are not read; an
@@ -167,14 +201,14 @@ def find_licenses(
                     own = words[rows[r] : rows[r + 1]]
                     raw = data[offsets[r] : offsets[r + 1]]
                     found = []
-                    order = np.lexsort((place[mine] - spot[mine], template[mine]))
-                    t, diagonal = template[mine][order], (place[mine] - spot[mine])[order] - rows[r]
-                    ends = np.flatnonzero((np.diff(t) != 0) | (np.diff(diagonal) > band)) + 1
-                    for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(t)]):
-                        goal = index.words[t[a]]
-                        matched, start, end = align(goal, own, int(np.median(diagonal[a:b])), band)
-                        if matched >= least * len(goal):
-                            found.append((matched, int(t[a]), start, end))
+                    for t in np.unique(template[mine]).tolist():
+                        goal = index.words[t]
+                        own_hits = mine & (template == t)
+                        for first, final, low, high in chains(place[own_hits] - rows[r], spot[own_hits], max(band, len(goal)), k):
+                            low, high = max(low, first - band), min(high, final + len(goal) + band, len(own))
+                            matched, start, end = align(goal, own[low:high], (first + final) // 2 - low, (final - first + 1) // 2 + band)
+                            if matched >= least * len(goal):
+                                found.append((matched, t, start + low, end + low))
                     found.sort(key=lambda f: (-f[0], f[1], f[2]))
                     taken: list[tuple] = []
                     for f in found:
