@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tradewind.llm import exact, language, licenses, mixing, neardup, packing, private, rules, sites, toxicity
+from tradewind.llm import exact, language, licenses, mixing, neardup, packing, periodic, private, rules, sites, substrings, toxicity
 
 TOKENIZER = {
     "json_path": public_tokenizers.path("byte_bpe_50k.json"),
@@ -94,6 +94,44 @@ def page_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("doc_id", "page_id")
 
 
+def repeated_windows(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Texts of every tenth id, by the CRC-32 of the id, repeat a block of their words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    # each step is a projection of its own, so that a text is split once
+    listed = docs.select("doc_id", "text", F.floor(h / 10).cast("long").alias("g"), F.when(h % 10 == 0, split).alias("words"))
+    listed = listed.withColumn("n", F.coalesce(F.size("words"), F.lit(0)))
+    listed = listed.withColumn("a", F.expr("if(n > 0, cast(g % n as int), 0)"))
+    listed = listed.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    block = F.slice("words", F.col("a") + 1, F.col("p"))
+    rest = F.slice(F.flatten(F.array_repeat(block, F.expr("cast(ceil((n - a) / p) as int)"))), 1, F.col("n") - F.col("a"))
+    changed = F.array_join(F.concat(F.slice("words", 1, F.col("a")), rest), " ")
+    return listed.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The digest of all runs and of the collapsed text, and the longest run."""
+    found = periodic.find_runs(with_planted_runs(table(spark, folder, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    line = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    lines = F.when(F.size(line) > 0, F.concat(F.array_join(line, "\n"), F.lit("\n"))).otherwise("")
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.s")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.p")).alias("period"),
+        F.expr("1000 * longest.length div -longest.p").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -108,6 +146,8 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_duplicates": exact_duplicates,
         "op9_language_id": document_language,
         "op10_quality_rules": rule_verdicts,
+        "op12_repeated_windows": repeated_windows,
+        "op13_periodic_runs": periodic_runs,
         "page_language_id": page_language,
         "pipeline": corpus_pipeline.run,
     }
