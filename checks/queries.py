@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tradewind.functions.durable import durable
 from tradewind.functions.numeric import percent, ratio0
@@ -14,6 +14,11 @@ from tradewind.operators import basket, clean, clusters, customers, forecast, fu
 from tradewind.plans import pipeline
 from tradewind.session import tune
 from tradewind.sources.adapter import ADAPTER_PARAMS as P, adapt
+from tradewind.sources.readers import fill_users, typed
+from tradewind.sources.schemas import FUNNEL_EVENT_COLUMNS
+
+#: Years of the test orders, as columns of the cohort matrix.
+COHORT_YEARS = range(1992, 1999)
 
 
 class Tables:
@@ -164,14 +169,158 @@ def _table_summary(t: Tables) -> DataFrame:
     )
 
 
+def _quality_report(t: Tables) -> DataFrame:
+    processed = {
+        "fact_transactions": t.fact, "agg_funnel_monthly": t.funnel_monthly, "fact_inventory": t.fact_inventory,
+        "dim_users": t.dim_users, "dim_products": t.dim_products, "dim_dcs": t.dim_dcs, "dim_date": _dim_date(t),
+    }
+    return quality.quality_report(t.raw, t.fact, P, processed, t.rfm)
+
+
+def _typed_orders(t: Tables) -> DataFrame:
+    """Orders written as text with the forms of a missing or unreadable value, and typed again."""
+    number = F.expr("order_id % 11")
+    texts = t.raw.orders.select(
+        F.col("order_id").cast("string").alias("order_id"),
+        F.when(number == 0, "x").when(number == 1, "").otherwise(F.col("user_id").cast("string")).alias("user_id"),
+        F.when(number == 2, "null").when(number == 3, "N/A").otherwise(F.col("status")).alias("status"),
+        F.lit("nan").alias("gender"),
+        F.when(number == 4, "never").otherwise(F.concat(F.col("created_at").cast("string"), F.lit("+00:00"))).alias("created_at"),
+        F.coalesce(F.col("returned_at").cast("string"), F.lit("")).alias("returned_at"),
+        F.coalesce(F.concat(F.col("shipped_at").cast("string"), F.lit(" UTC")), F.lit("NaN")).alias("shipped_at"),
+        F.col("delivered_at"),
+        F.when(number == 5, "two").otherwise(F.col("num_of_item").cast("string")).alias("num_of_item"),
+    )
+    return typed(texts, "orders")
+
+
+def _typed_events(t: Tables) -> DataFrame:
+    """Events written as text, where only the empty text is missing, narrowed to the columns of the funnels."""
+    number = F.expr("id % 7")
+    texts = t.raw.events.select(
+        *[F.col(c).cast("string").alias(c) for c in ("id", "user_id", "event_type")],
+        F.when(number == 0, "").when(number == 1, "null").otherwise(F.col("session_id")).alias("session_id"),
+        F.when(number == 2, "NA").when(number == 3, "").otherwise(F.col("traffic_source")).alias("traffic_source"),
+        "created_at",
+    )
+    return typed(texts, "events", FUNNEL_EVENT_COLUMNS)
+
+
+def _filled_users(t: Tables) -> DataFrame:
+    """Users joined to their scores, some without any, as the analyses read them."""
+    users = t.raw.users.select(F.col("id").alias("user_id"))
+    scores = t.rfm.select("user_id", "Frequency", "Monetary", "return_rate_pct", "rfm_segment")
+    return fill_users(users.join(scores, "user_id", "left"))
+
+
 def _kmeans(t: Tables) -> DataFrame:
     return clusters.kmeans_clusters(t.enriched)
 
 
+def _cluster_count(t: Tables) -> DataFrame:
+    return clusters.choose_cluster_count(durable(clusters.standardize(durable(t.enriched))))[1]
+
+
+def _properties(row: DataFrame) -> DataFrame:
+    """One row of counts as (property, value)."""
+    cells = [F.struct(F.lit(c).alias("property"), F.col(c).cast("bigint").alias("value")) for c in row.columns]
+    return row.select(F.inline(F.array(*cells)))
+
+
+def _cluster_count_checks(t: Tables) -> DataFrame:
+    """What must hold for the costs of all candidate counts, whatever the starts."""
+    costs = durable(_cluster_count(t)).withColumn("_before", F.lag("inertia").over(Window.orderBy("k")))
+    everyone = t.enriched.agg(F.count("*")).scalar() * len(clusters.CLUSTER_FEATURES)
+    return _properties(
+        costs.agg(
+            F.count("*").alias("candidates"),
+            F.min("k").alias("least_k"),
+            F.max("k").alias("most_k"),
+            F.count_if("chosen").alias("chosen"),
+            F.count_if(F.col("inertia") > F.col("_before")).alias("cost_rises"),
+            F.count_if((F.col("inertia") < 0) | (F.col("inertia") > everyone)).alias("costs_beyond_total_variance"),
+            F.count_if(~F.col("converged")).alias("not_converged"),
+        )
+    )
+
+
+def _kmeans_checks(t: Tables) -> DataFrame:
+    """Every user once, every cluster named, names in order of value."""
+    clustered = durable(_kmeans(t))
+    profile = clusters.cluster_profile(clustered)
+    rank = F.row_number().over(Window.orderBy(F.col("Monetary").desc(), "Recency"))
+    expected = F.element_at(F.array(*map(F.lit, clusters.CLUSTER_NAMES)), rank)
+    misnamed = profile.withColumn("_name", expected).agg(F.count_if(F.col("cluster_label") != F.col("_name"))).scalar()
+    return _properties(
+        clustered.agg(
+            F.count("*").alias("users"),
+            F.countDistinct("user_id").alias("distinct_users"),
+            F.count_if(F.col("cluster_label").isNull()).alias("unnamed"),
+            misnamed.alias("names_out_of_order"),
+            F.count_if((F.col("cluster") < 0) | (F.col("cluster") > 6)).alias("clusters_out_of_range"),
+        )
+    )
+
+
+def _forecast_checks(t: Tables) -> DataFrame:
+    """Months and model of the forecast, and whether it lies in its band."""
+    made = forecast.forecast_top_categories(t.monthly)
+    in_band = (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper")) & (F.col("mape_pct") >= 0)
+    return made.select("category", "ds", "model_type", in_band.alias("in_band"))
+
+
+def _tuned_checks(t: Tables) -> DataFrame:
+    band = (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))
+    return forecast.tuned_forecast(t.monthly).select("category", "ds", band.alias("in_band"))
+
+
+def _evaluation_checks(t: Tables) -> DataFrame:
+    return forecast.forecast_evaluation(t.monthly).withColumn("known", F.col("mape_pct") >= 0).drop("mape_pct")
+
+
+def _backtest_checks(t: Tables) -> DataFrame:
+    """A mean absolute error is never above the root of the mean square, and both pages agree on the percentage."""
+    spans = forecast.forecast_evaluation(t.monthly).select("category", F.col("mape_pct").alias("_mape"))
+    errors = forecast.forecast_backtest(t.monthly).join(spans, "category")
+    agree = F.col("mape_pct") == F.col("_mape")
+    return errors.select("category", ((F.col("mae") <= F.col("rmse")) & (F.col("mae") >= 0) & agree).alias("consistent"))
+
+
+def _tuning_checks(t: Tables) -> DataFrame:
+    """The best of the grid is in the grid and no worse than the default, which is one of the grid."""
+    best, default = forecast.tune_forecast(t.monthly), forecast.forecast_evaluation(t.monthly)
+    in_grid = (
+        F.col("trend_scale").isin(*forecast.TREND_SCALES)
+        & F.col("season_scale").isin(*forecast.SEASON_SCALES)
+        & F.col("event_scale").isin(*forecast.EVENT_SCALES)
+        & F.col("mode").isin(*forecast.MODES)
+    )
+    joined = best.join(default.select("category", "mape_pct"), "category")
+    return joined.select("category", in_grid.alias("in_grid"), (F.col("best_mape_pct") <= F.col("mape_pct")).alias("no_worse"))
+
+
+def _calendar_checks(t: Tables) -> DataFrame:
+    """Without the calendar the error is that of the best parameter set."""
+    joined = forecast.calendar_effect(t.monthly).join(forecast.tune_forecast(t.monthly), "category")
+    same = F.col("mape_pct_plain") == F.col("best_mape_pct")
+    return joined.select("category", same.alias("same_without"), (F.col("mape_pct_calendar") >= 0).alias("known_with"))
+
+
 def _model_report(t: Tables) -> DataFrame:
-    return forecast.model_report(
-        clusters.rule_clusters(t.enriched), forecast.forecast_evaluation(t.monthly)
+    return forecast.model_report(durable(_kmeans(t)), durable(forecast.forecast_evaluation(t.monthly)))
+
+
+def _model_report_checks(t: Tables) -> DataFrame:
+    """Each metric of the report and whether its value is one that can be."""
+    value, number = F.col("value"), F.col("value").try_cast("double")
+    holds = (
+        F.when(F.col("metric") == "cluster_count", number.between(2, 7))
+        .when(F.col("metric") == "top_cluster", value.isin(*clusters.CLUSTER_NAMES))
+        .when(F.col("metric") == "model_type", value.isin(forecast.MODEL_TYPE, forecast.FALLBACK_TYPE))
+        .when(F.col("metric") == "top_category_mape_pct", number >= 0)
+        .otherwise(value == "Baseline only")
     )
+    return _model_report(t).select("section", "metric", holds.alias("holds"))
 
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
@@ -214,11 +363,15 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "bot_candidates": lambda t: quality.bot_candidates(t.raw.events, P),
     "scope_reconciliation": lambda t: quality.scope_reconciliation(t.raw.orders, t.raw.order_items, t.fact, P),
     "raw_quality_checks": lambda t: quality.raw_quality_checks(t.raw),
-    "quality_report": lambda t: quality.quality_report(t.raw, t.fact, P),
+    "quality_report": _quality_report,
+    "typed_orders": _typed_orders,
+    "typed_events": _typed_events,
+    "filled_users": _filled_users,
     # Star-schema analyses.
     "rfm": lambda t: t.rfm,
     "rfm_segmentation": lambda t: customers.rfm_segmentation(t.dim_users),
     "cohort_retention": lambda t: customers.cohort_retention(t.fact),
+    "cohort_matrix": lambda t: customers.cohort_matrix(customers.cohort_retention(t.fact), COHORT_YEARS),
     "ltv_cac": lambda t: customers.ltv_cac(t.dim_users, P),
     "status_leakage": lambda t: revenue.status_leakage(t.fact, P),
     "annual_revenue": lambda t: revenue.annual_revenue(t.fact, P),
@@ -287,9 +440,10 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "enriched_rfm": lambda t: t.enriched,
     "rule_clusters": lambda t: clusters.rule_clusters(t.enriched),
     "cluster_profile": lambda t: clusters.cluster_profile(clusters.rule_clusters(t.enriched)),
-    "cluster_count": lambda t: clusters.choose_cluster_count(
-        durable(clusters.standardize(durable(t.enriched)))
-    )[1],
+    "users_with_clusters": lambda t: clusters.users_with_clusters(t.dim_users, clusters.rule_clusters(t.enriched)),
+    "cluster_count": _cluster_count,
+    "cluster_count_checks": _cluster_count_checks,
+    "kmeans_checks": _kmeans_checks,
     "kmeans_clusters": _kmeans,
     "kmeans_profile": lambda t: clusters.cluster_profile(_kmeans(t)),
     "monthly_category_series": lambda t: t.monthly,
@@ -301,6 +455,13 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "tuned_forecast": lambda t: forecast.tuned_forecast(t.monthly),
     "forecast_evaluation": lambda t: forecast.forecast_evaluation(t.monthly),
     "model_report": _model_report,
+    "forecast_checks": _forecast_checks,
+    "forecast_evaluation_checks": _evaluation_checks,
+    "forecast_backtest_checks": _backtest_checks,
+    "tune_forecast_checks": _tuning_checks,
+    "tuned_forecast_checks": _tuned_checks,
+    "calendar_effect_checks": _calendar_checks,
+    "model_report_checks": _model_report_checks,
 }
 
 

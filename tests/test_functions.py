@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 import numpy as np
 import pandas as pd
@@ -124,20 +125,44 @@ def test_two_step_edge_search(spark):
         assert found == sum(e < v for e in edges)
 
 
-def test_large_groups_are_split_and_small_ones_are_not(spark):
-    hot = [("hot", i) for i in range(20_000)]
+@pytest.mark.parametrize("target", [7, 300, 6000])
+def test_large_groups_are_split_and_small_ones_are_not(spark, target):
+    hot = [("hot", i * i) for i in range(20_000)]
+    warm = [("warm", i) for i in range(600)]  # one in a hundred rows
     cold = [(f"s{i % 20_000}", i) for i in range(40_000)]
-    df = spark.createDataFrame(pd.DataFrame(hot + cold, columns=["g", "k"]))
-    sliced = ranking.split_long_groups(df, "g", "k", "k")
-    sizes = sliced.groupBy("g", "_slice").count()
-    hot_sizes = [r["count"] for r in sizes.where("g = 'hot'").collect()]
-    assert sum(hot_sizes) == 20_000 and len(hot_sizes) > 40 and max(hot_sizes) < 2_500
-    assert sizes.where("g <> 'hot'").count() <= 20_000 + 40
+    df = spark.createDataFrame(pd.DataFrame(hot + warm + cold, columns=["g", "k"]))
+    sliced = ranking.split_long_groups(df, "g", "k", "k", target)
+    sizes = sliced.groupBy("g", "_slice").count().collect()
+    for group, n in (("hot", 20_000), ("warm", 600)):
+        found = [r["count"] for r in sizes if r["g"] == group]
+        assert sum(found) == n and max(found) <= target and len(found) >= n / target
+    assert all(r["_slice"] == [] for r in sizes if r["g"] not in ("hot", "warm"))
     # Slices keep the order of the key.
     spans = sliced.where("g = 'hot'").groupBy("_slice").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("_slice").collect()
     assert all(a["hi"] < b["lo"] for a, b in zip(spans, spans[1:]))
 
 
+def test_copies_of_one_key_are_left_whole(spark):
+    df = spark.createDataFrame([("a", 5, i) for i in range(100)] + [("a", 6, 100)], "g string, k int, id int")
+    sizes = ranking.split_long_groups(df, "g", "k", "id", 10).groupBy("_slice").count().collect()
+    assert sorted(r["count"] for r in sizes) == [1, 100]
+
+
+@pytest.mark.parametrize("n, target", [(20_000, 50), (20_000, 3000), (500, 1)])
+def test_wanted_slices_are_cut_until_they_are_small(spark, n, target):
+    keys = np.sort(np.random.default_rng(n).choice(10**9, n, replace=False)) ** 2
+    frame = pd.DataFrame({"series": "a", "key": keys, "weight": 1 + np.arange(n) % 3})
+    values = durable(spark.createDataFrame(pd.concat([frame, frame.assign(series="b", key=-keys)])).repartition(4, "key"))
+    ranks = {str(p): F.ceil(F.col("n") * p / 10) for p in range(1, 11)}
+    slices = ranking.narrow_slices(values, ranks, "series", "key", "weight", target)
+    assert len(slices) == 20 and max(s["rows"] for s in slices) <= target
+    found = ranking.order_statistics(values, ranks, target=target).collect()
+    whole = {"a": np.repeat(keys, frame["weight"]), "b": -np.repeat(keys, frame["weight"])[::-1]}
+    assert len(found) == 20
+    for r in found:
+        assert r.key == whole[r.series][math.ceil(len(whole[r.series]) * int(r.label) / 10) - 1]
+
+
 def test_durable_uses_the_configured_folder(spark):
     df = durable(spark.range(10))
     assert rows(df) == [(i,) for i in range(10)]

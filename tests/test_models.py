@@ -1,10 +1,11 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import by
+from conftest import by, rows
 from tradewind.functions.durable import durable
 from tradewind.operators import clusters, forecast
 
@@ -34,22 +35,69 @@ def test_labels_follow_value_then_recency(spark):
 
 
 def test_features_are_standardized(enriched):
-    from pyspark.ml.functions import vector_to_array
-
-    values = clusters.standardize(enriched).select(vector_to_array("scaled").alias("v"))
+    values = clusters.standardize(enriched)
     for i in range(len(clusters.CLUSTER_FEATURES)):
-        mean, deviation = values.agg(F.avg(F.col("v")[i]), F.stddev_pop(F.col("v")[i])).first()
+        mean, deviation = values.agg(F.avg(F.col("scaled")[i]), F.stddev_pop(F.col("scaled")[i])).first()
         assert abs(mean) < 1e-9 and abs(deviation - 1) < 1e-9
 
 
 def test_constant_features_are_only_centred(enriched):
-    from pyspark.ml.functions import vector_to_array
-
     same = enriched.withColumn("aov", F.lit(3.0))
-    values = clusters.standardize(same).select(vector_to_array("scaled")[2]).distinct().collect()
+    values = clusters.standardize(same).select(F.col("scaled")[2]).distinct().collect()
     assert [r[0] for r in values] == [0.0]
 
 
+def lloyd(x, centers, tolerance=1e-4, rounds=100):
+    """Plain k-means from given centers."""
+    for done in range(1, rounds + 1):
+        own = ((x[:, None] - centers) ** 2).sum(2).argmin(1)
+        new = np.array([x[own == c].mean(0) if (own == c).any() else centers[c] for c in range(len(centers))])
+        moved, centers = ((new - centers) ** 2).sum(), new
+        if moved <= tolerance:
+            break
+    return centers, ((x[:, None] - centers) ** 2).sum(2).min(1).sum(), done
+
+
+@pytest.fixture(scope="module")
+def blobs(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(m, 1, (150, 3)) for m in ((0, 0, 0), (9, 0, 0), (0, 9, 4), (-7, -7, 2))])
+    return x, durable(spark.createDataFrame([(r.tolist(),) for r in x], "scaled array<double>").repartition(5))
+
+
+def test_all_starts_agree_with_plain_rounds(blobs):
+    x, vectors = blobs
+    picked = vectors.orderBy(F.xxhash64("scaled"), "scaled").limit(4096).collect()
+    sample = np.array([r["scaled"] for r in picked])
+    fits = clusters.fit_kmeans(vectors, [2, 4, 5], restarts=3)
+    for fit in fits:
+        runs = [lloyd(x, clusters.starting_centers(sample, fit.k, 42 + start)) for start in range(3)]
+        centers, cost, rounds = runs[fit.start]
+        assert fit.converged and fit.rounds == rounds and np.allclose(fit.centers, centers, atol=1e-5)
+        assert math.isclose(fit.cost, cost, rel_tol=1e-5) and cost <= min(r[1] for r in runs) * (1 + 1e-5)
+    assert fits[0].cost > fits[1].cost > fits[2].cost
+
+
+def test_sums_do_not_depend_on_the_partitions(blobs):
+    _, vectors = blobs
+    a, b = (clusters.fit_kmeans(vectors.repartition(n, "scaled"), [4], restarts=2)[0] for n in (1, 7))
+    assert (a.centers == b.centers).all() and a.cost == b.cost
+
+
+def test_rounds_that_end_too_early_are_told(blobs):
+    (fit,) = clusters.fit_kmeans(blobs[1], [5], restarts=1, max_iter=1)
+    assert fit.rounds == 1 and not fit.converged
+
+
+def test_one_pass_a_round(blobs, monkeypatch):
+    passes = []
+    once = clusters._sum_up
+    monkeypatch.setattr(clusters, "_sum_up", lambda vectors, runs: passes.append(len(runs)) or once(vectors, runs))
+    fits = clusters.fit_kmeans(blobs[1], [2, 3, 4], restarts=4)
+    assert passes[0] == passes[-1] == 12 and len(passes) >= max(f.rounds for f in fits) + 1
+    assert all(a >= b for a, b in zip(passes[:-1], passes[1:-1]))
+
+
 def test_kmeans_labels_every_user_in_order_of_value(enriched):
     clustered = durable(clusters.kmeans_clusters(enriched, k=5, restarts=2))
     assert clustered.count() == enriched.count() and clustered.where("cluster_label is null").count() == 0
@@ -62,6 +110,7 @@ def test_kmeans_labels_every_user_in_order_of_value(enriched):
 def test_cluster_count_lists_all_candidates(enriched):
     chosen, costs = clusters.choose_cluster_count(durable(clusters.standardize(enriched)), restarts=1)
     table = by(costs, "k", "inertia", "chosen")
+    assert costs.columns == ["k", "inertia", "rounds", "converged", "chosen"]
     assert sorted(table) == [2, 3, 4, 5, 6, 7] and [k for k, (_, c) in table.items() if c] == [chosen]
 
 
@@ -122,3 +171,29 @@ def test_report_names_the_largest_cluster(spark):
         "cluster_count": "2", "top_cluster": "b", "model_type": "m", "top_category_mape_pct": "15.25",
         "use_for_demand_planning": "Baseline only",
     }
+
+
+def test_a_series_that_cannot_be_fitted_falls_back_alone(spark):
+    """A month whose loss equals the largest value has no logarithm, so the multiplicative fit of that series fails."""
+    from tradewind.operators.series import regular_monthly, seasonal_naive_forecast
+
+    months = [(2018 + m // 12, m % 12 + 1) for m in range(60)]
+    good = [("shoes", dt.date(y, m, 1), 1000.0 + 100 * m) for y, m in months]
+    bad = [("hats", dt.date(y, m, 1), -90_000.0 if i == 30 else 5000.0 + i) for i, (y, m) in enumerate(months)]
+    params = forecast.FitParams(mode="multiplicative")
+    schema = "category string, ds date, revenue double"
+    alone = forecast.forecast_top_categories(spark.createDataFrame(good, schema), params=params)
+    frame = spark.createDataFrame(good + bad, schema)
+    both = forecast.forecast_top_categories(frame, params=params)
+    assert {r.category: r.model_type for r in both.collect()} == {"shoes": "trend_season_ridge", "hats": "seasonal_naive_fallback"}
+    assert rows(both.where("category = 'shoes'")) == rows(alone)
+    naive = seasonal_naive_forecast(regular_monthly(frame)).where("category = 'hats'")
+    assert rows(both.where("category = 'hats'").drop("model_type")) == rows(naive)
+    evaluation = by(forecast.forecast_evaluation(frame, params=params), "category", "model_type", "mape_pct")
+    assert evaluation["hats"] == ("seasonal_naive_fallback", naive.first()["mape_pct"]) and evaluation["shoes"][0] == "trend_season_ridge"
+
+
+def test_parameter_sets_that_fail_are_never_the_best(spark):
+    months = [dt.date(2018 + m // 12, m % 12 + 1, 1) for m in range(60)]
+    frame = spark.createDataFrame([("hats", d, -90_000.0 if i == 30 else 5000.0 + i) for i, d in enumerate(months)], "category string, ds date, revenue double")
+    assert forecast.tune_forecast(frame).first()["mode"] == "additive"

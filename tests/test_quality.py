@@ -91,13 +91,29 @@ def test_user_checks_count_all_copies(spark):
     }
 
 
-def test_orphans_skip_null_keys(spark):
-    child = spark.createDataFrame([(1,), (1,), (9,), (9,), (9,), (None,)], "k long")
-    parent = spark.createDataFrame([(1,), (1,), (2,)], "id long")
-    assert tuple(quality.orphans(child, "k", parent, "id").first()) == (5, 3)
-    assert tuple(quality.orphans(child, "k", parent, "id", count_nulls=True).first()) == (6, 4)
-    empty = spark.createDataFrame([], "k long")
-    assert tuple(quality.orphans(empty, "k", parent, "id").first()) == (0, 0)
+def test_keys_are_counted_once_per_rule(spark):
+    child = spark.createDataFrame([(1, 7), (1, None), (9, 7), (9, 7), (None, 8)], "k long, other long")
+    rules = [("k", "child", "k", "parent", "id"), ("other", "child", "other", "parent", "id")]
+    counts = {("k", 1): 2, ("k", 9): 2, ("other", 7): 3, ("other", 8): 1}
+    assert by(quality.tagged_keys({"child": child}, rules), ["rule", "key"], "n") == counts
+    counts |= {("k", None): 1, ("other", None): 1}
+    assert by(quality.tagged_keys({"child": child}, rules, count_nulls=True), ["rule", "key"], "n") == counts
+
+
+def reads(df):
+    """How many files or tables the plan reads."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+
+
+def test_each_child_is_read_once(spark, tables):
+    """Besides the adapter, which makes items and inventory of one file, orders of another and users of a third."""
+    each = {name: reads(df) for name, df in tables.raw.items()}
+    assert reads(quality.profile_tables(tables.raw)) <= sum(each.values())
+    parents, children = ("users", "orders", "products", "dcs"), ("orders", "order_items", "products", "inventory", "events")
+    assert reads(quality.foreign_key_checks(tables.raw)) <= sum(each[t] for t in parents + children)
+    # The report in one row also reads products for their prices and events for their times.
+    once = ("order_items", "inventory", "users", "products", "orders", "events", "products")
+    assert reads(quality.raw_quality_checks(tables.raw)) <= sum(each[t] for t in once)
 
 
 def test_costly_products(spark):

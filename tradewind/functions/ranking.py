@@ -1,21 +1,22 @@
 """Exact order statistics without sorting everything in one task.
 
 `F.median` and `F.percentile` merge a map of all distinct values in one task, and a rank over an
-unpartitioned window sorts all rows in one task. Here a fixed number of rows, those with the smallest
-hashes, gives edges that split the values into slices. Counting per slice shows which slice holds a wanted
-rank, and only those slices are sorted, each in its own task. The edges decide how even the slices are,
-never what comes out.
+unpartitioned window sorts all rows in one task. Here values are cut into slices at sampled edges, counting per slice
+shows which slice holds a wanted rank, and that slice is cut again until it is small; only then is it sorted. Long
+groups are cut into ordered slices in the same way. The edges decide how even the slices are, never what comes out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tradewind.functions.durable import durable
 from tradewind.functions.reshape import with_row
 
+#: Most rows of a slice that is sorted in one task, and edges by which a larger one is cut at a time.
+SLICE_ROWS = 100_000
 EDGES = 256
 BLOCK = 16
 
@@ -33,60 +34,120 @@ def slice_of(key: Column) -> Column:
     return blocks * BLOCK + F.size(F.filter(inside, lambda edge: edge < key))
 
 
-def sampled_keys(df: DataFrame, groups: Sequence[str], key: str, seed: Column, size: int = EDGES) -> DataFrame:
-    """At most `size` rows per group, those with the smallest hash: the same rows on every run."""
-    by_hash = Window.partitionBy(*groups).orderBy(F.xxhash64(seed), key)
-    return (
-        df.select(*groups, key, F.row_number().over(by_hash).alias("_n")).where(F.col("_n") <= size).drop("_n")
+def sampled(seed: Column, rows: Column) -> Column:
+    """True for about four times `EDGES` of `rows` rows, by the hash of `seed`: the same rows on every run."""
+    return F.pmod(F.xxhash64(seed), F.lit(1 << 30)) / float(1 << 30) * rows < 4 * EDGES
+
+
+def even_edges(sample: Column, least: Column) -> Column:
+    """At most `EDGES` evenly spaced keys of a sample, and the least key, so that a cut always splits off something."""
+    keys = F.sort_array(sample)
+    step = F.ceil(F.greatest(F.size(keys), F.lit(1)) / (EDGES - 1))
+    return F.array_distinct(F.array_append(F.filter(keys, lambda _, i: i % step == 0), least))
+
+
+def narrow_slices(
+    values: DataFrame, ranks: Mapping[str, Column], group: str, key: str, weight: str, target: int
+) -> list[dict]:
+    """For each wanted rank a key range (low, high] of its group with at most `target` rows or a single key.
+
+    One row per group and label is held on the driver: as many as the arguments ask for. Every level of cutting is two
+    aggregations over the ranges that are still too large, whose number of rows falls by about `EDGES` a level.
+    """
+    wanted = [F.struct(F.lit(label).alias("label"), rank.cast("long").alias("offset")) for label, rank in ranks.items()]
+    sizes = values.groupBy(group).agg(F.sum(weight).alias("n"), F.count("*").alias("rows"))
+    found = sizes.select(group, "n", "rows", F.inline(F.array(*wanted))).where("offset between 1 and n").collect()
+    slices = [{"group": r[group], "label": r.label, "offset": r.offset, "rows": r.rows, "low": None, "high": None} for r in found]
+    while True:
+        large = {(s["group"], s["low"], s["high"]): s["rows"] for s in slices if s["rows"] > target}
+        if not large:
+            return slices
+        inside = _within(values, [(*k, n) for k, n in large.items()], group, key)
+        sample = F.collect_set(F.when(sampled(F.col(key), F.col("_rows")), F.col(key)))
+        cuts = inside.groupBy("_nr").agg(F.min(key).alias("_least"), F.max(key).alias("_most"), sample.alias("_keys"))
+        cuts = cuts.where("_least < _most").select("_nr", *edge_columns(even_edges(F.col("_keys"), F.col("_least")))).collect()
+        edges = {r["_nr"]: list(r["_edges"]) for r in cuts}
+        ranges = list(large)
+        for nr, one in enumerate(ranges):
+            if nr not in edges:  # a single key
+                for s in slices:
+                    if (s["group"], s["low"], s["high"]) == one:
+                        s["rows"] = 1
+        if not edges:
+            continue
+        schema = T.StructType([T.StructField("_nr", T.IntegerType()), T.StructField("_keys", T.ArrayType(values.schema[key].dataType))])
+        by_range = values.sparkSession.createDataFrame(list(edges.items()), schema).select("_nr", *edge_columns(F.col("_keys")))
+        parts = (
+            inside.join(F.broadcast(by_range), "_nr")  # the ranges above with their edges
+            .groupBy("_nr", slice_of(F.col(key)).alias("_part"))
+            .agg(F.sum(weight).alias("n"), F.count("*").alias("rows"))
+            .collect()
+        )
+        counts = {(r["_nr"], r["_part"]): (r["n"], r["rows"]) for r in parts}
+        for s in slices:
+            one = (s["group"], s["low"], s["high"])
+            nr = ranges.index(one) if one in large else -1
+            if nr not in edges:
+                continue
+            for part in range(len(edges[nr]) + 1):
+                n, rows = counts.get((nr, part), (0, 0))
+                if s["offset"] <= n:
+                    s["rows"] = rows
+                    s["low"] = edges[nr][part - 1] if part else s["low"]
+                    s["high"] = edges[nr][part] if part < len(edges[nr]) else s["high"]
+                    break
+                s["offset"] -= n
+
+
+def _within(values: DataFrame, ranges: Sequence[tuple], group: str, key: str) -> DataFrame:
+    """Rows of `values` inside each of the ranges (group, low, high, rows), with the range's number `_nr`."""
+    kind = values.schema[key].dataType
+    schema = T.StructType(
+        [
+            T.StructField("_nr", T.IntegerType()),
+            T.StructField("_group", values.schema[group].dataType),
+            T.StructField("_low", kind),
+            T.StructField("_high", kind),
+            T.StructField("_rows", T.LongType()),
+        ]
     )
+    listed = values.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(ranges)], schema)
+    held = (F.col("_low").isNull() | (F.col(key) > F.col("_low"))) & (F.col("_high").isNull() | (F.col(key) <= F.col("_high")))
+    same = F.col(group).eqNullSafe(F.col("_group")) & held
+    return values.join(F.broadcast(listed), same).drop("_group", "_low", "_high")  # a row per wanted rank at most
 
 
 def order_statistics(
-    values: DataFrame, ranks: Mapping[str, Column], group: str = "series", key: str = "key", weight: str = "weight"
+    values: DataFrame,
+    ranks: Mapping[str, Column],
+    group: str = "series",
+    key: str = "key",
+    weight: str = "weight",
+    target: int = SLICE_ROWS,
 ) -> DataFrame:
     """The element at each wanted 1-based rank, per group.
 
-    `values` has (group, key, weight): `key` can be any orderable type, also a struct, and `weight` says
-    how often the key counts. `ranks` maps a label to an expression over `n`, the group's total weight.
-    Returns (group, label, key); labels with a rank outside 1..n are absent. `values` is read three times.
+    `values` has (group, key, weight), each key of a group once: `key` can be any orderable type, also a struct, and
+    `weight` says how often the key counts. `ranks` maps a label to an expression over `n`, the group's total weight.
+    Returns (group, label, key); labels with a rank outside 1..n are absent. Groups and labels should be few: `values` is
+    read about twice a level of `narrow_slices`, and once more for the slices it finds.
     """
-    edges = (
-        sampled_keys(values, [group], key, F.col(key))
-        .groupBy(group)
-        .agg(F.collect_set(key).alias("_keys"))
-        .select(group, *edge_columns(F.col("_keys")))
-    )
-    sliced = (
-        values.join(F.broadcast(edges), group)  # one row of at most EDGES keys per group
-        .withColumn("_slice", slice_of(F.col(key)))
-        .drop("_edges", "_blocks")
-    )
-
-    # At most EDGES + 1 rows per group from here on.
-    per_group = Window.partitionBy(group)
-    histogram = sliced.groupBy(group, "_slice").agg(F.sum(weight).alias("_inside"))
-    histogram = histogram.select(
-        "*",
-        F.sum("_inside").over(per_group).alias("n"),
-        (F.sum("_inside").over(per_group.orderBy("_slice")) - F.col("_inside")).alias("_before"),
-    )
-    wanted = [F.struct(F.lit(label).alias("label"), rank.cast("long").alias("_rank")) for label, rank in ranks.items()]
-    targets = (
-        histogram.select(group, "_slice", "_before", "_inside", F.inline(F.array(*wanted)))
-        .where((F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("_inside")))
-        .select(group, "_slice", "label", (F.col("_rank") - F.col("_before")).alias("_offset"))
-    )
-
-    # One row per (group, label): bounded by the arguments, not by the data.
-    wanted_slices = targets.groupBy(group, "_slice").agg(
-        F.collect_list(F.struct("label", "_offset")).alias("_targets")
-    )
-    upto = Window.partitionBy(group, "_slice").orderBy(key)
+    slices = narrow_slices(values, ranks, group, key, weight, target)
+    ranges = list(dict.fromkeys((s["group"], s["low"], s["high"]) for s in slices))
+    if not ranges:
+        return values.select(group, F.lit("").alias("label"), key).where("false")
+    targets = [(ranges.index((s["group"], s["low"], s["high"])), s["label"], s["offset"]) for s in slices]
+    targets = values.sparkSession.createDataFrame(targets, "_nr int, label string, _offset long")
+    targets = targets.groupBy("_nr").agg(F.collect_list(F.struct("label", "_offset")).alias("_targets"))
+    upto = Window.partitionBy("_nr").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        sliced.join(F.broadcast(wanted_slices), [group, "_slice"])
-        .withColumn("_upto", F.sum(weight).over(upto.rowsBetween(Window.unboundedPreceding, 0)))
-        .select(group, key, weight, "_upto", F.inline("_targets"))
-        .where((F.col("_offset") <= F.col("_upto")) & (F.col("_offset") > F.col("_upto") - F.col(weight)))
+        _within(values, [(*r, 0) for r in ranges], group, key)
+        .groupBy("_nr", group, key)
+        .agg(F.sum(weight).alias("_weight"))  # at most `target` rows a range
+        .withColumn("_upto", F.sum("_weight").over(upto))
+        .join(F.broadcast(targets), "_nr")
+        .select(group, key, "_weight", "_upto", F.inline("_targets"))
+        .where((F.col("_offset") <= F.col("_upto")) & (F.col("_offset") > F.col("_upto") - F.col("_weight")))
         .select(group, "label", key)
     )
 
@@ -159,23 +220,37 @@ def quintiles(df: DataFrame, identity: str, metrics: Sequence[str], buckets: int
     return with_row(df, cuts, "_cuts").withColumns({f"{m}_quintile": quintile(m) for m in metrics}).drop("_cuts")
 
 
-def split_long_groups(df: DataFrame, group: str, key: str, seed: str, size: int = EDGES) -> DataFrame:
-    """Adds `_slice`: 0 in ordinary groups, an order-preserving slice number in groups too large for one task.
+def split_long_groups(df: DataFrame, group: str, key: str, seed: str, target: int = SLICE_ROWS) -> DataFrame:
+    """Adds `_slice`, an array that orders the slices of a group like its keys: empty for groups of at most `target` rows.
 
-    A group seen at least twice among `size` sampled rows is taken as large and cut at its sampled keys, so
-    a group with a third of all rows falls into about `size` / 3 slices. The sample holds `size` rows at most.
+    Groups are counted first. Only a longer one is cut, at keys sampled from it alone, and what is still too long is
+    cut again, until no slice has more than `target` rows or more than one key. `seed` should tell the rows of a
+    group apart. Without a long group `df` is read once for the count.
     """
-    hashed = df.select(group, key, F.xxhash64(seed).alias("_hash"))
-    edges = (
-        hashed.orderBy("_hash", key)
-        .limit(size)
-        .groupBy(group)
-        .agg(F.collect_set(key).alias("_keys"))
-        .where(F.size("_keys") > 1)
-        .select(group, *edge_columns(F.col("_keys")))
-    )
-    return (
-        df.join(F.broadcast(edges), group, "left")
-        .withColumn("_slice", F.when(F.col("_edges").isNull(), 0).otherwise(slice_of(F.col(key))))
-        .drop("_edges", "_blocks")
-    )
+    sliced = df.withColumn("_slice", F.array().cast("array<int>"))
+    while True:
+        parts = (
+            sliced.groupBy(group, "_slice")
+            .agg(F.count("*").alias("_rows"), F.min(key).alias("_least"), F.max(key).alias("_most"))
+            .where((F.col("_rows") > target) & (F.col("_least") < F.col("_most")))
+            .drop("_most")
+        )
+        if parts.isEmpty():
+            return sliced
+        # At most one part per `target` rows; each gets at most `EDGES` edges.
+        parts = durable(parts)
+        edges = (
+            sliced.join(parts, [group, "_slice"])
+            .where(sampled(F.col(seed), F.col("_rows")))
+            .groupBy(group, "_slice")
+            .agg(F.collect_set(key).alias("_keys"))
+        )
+        cuts = parts.join(edges, [group, "_slice"], "left").select(
+            group, "_slice", *edge_columns(even_edges(F.coalesce("_keys", F.array()), F.col("_least")))
+        )
+        deeper = F.array_append("_slice", slice_of(F.col(key)))
+        sliced = (
+            sliced.join(durable(cuts), [group, "_slice"], "left")
+            .withColumn("_slice", F.when(F.col("_edges").isNull(), F.col("_slice")).otherwise(deeper))
+            .drop("_edges", "_blocks")
+        )

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tradewind.functions.bands import first_match
+from tradewind.functions.durable import durable
 from tradewind.functions.numeric import percent, ratio, round_even, total
-from tradewind.functions.reshape import all_groups
 
 
 def basket_affinity(fact: DataFrame, dim_products: DataFrame) -> DataFrame:
     """Support, confidence and lift of category pairs in recognized orders.
 
     An order is reduced to the set of its categories, and equal sets of one user are counted together. Only
-    such a set is spread into pairs, so the number of items in an order or of orders with the same basket does
-    not matter. The set is at most as long as the list of categories.
+    such a set is spread into pairs, one at a time, so the number of items in an order or of orders with the same basket
+    does not matter. The set is at most as long as the list of categories.
     """
     category = dim_products.select("product_id", "category").distinct().where(F.col("category").isNotNull())
     per_order = (
@@ -32,18 +32,14 @@ def basket_affinity(fact: DataFrame, dim_products: DataFrame) -> DataFrame:
         F.count("*").alias("orders"), total("revenue").alias("revenue")
     )
 
-    # (a, b) for a before b, (a, a) for a category alone, and one entry without categories for all orders.
-    def with_later(name, position):
-        return F.transform(
-            F.slice("basket", position + 1, F.size("basket")),
-            lambda other: F.struct(name.alias("category_a"), other.alias("category_b")),
-        )
-
+    # One row per category and its place, then one per category from there on: (a, b) for a before b, and (a, a) for a
+    # category alone. Place 0 has no category and stands for all orders. No row holds the pairs of a basket.
     nothing = F.lit(None).cast("string")
-    everything = F.array(F.struct(nothing.alias("category_a"), nothing.alias("category_b")))
-    entries = F.concat(F.flatten(F.transform("basket", with_later)), everything)
-    counted = (
-        baskets.select("user_id", "orders", "revenue", F.inline(entries))
+    first = F.posexplode(F.concat(F.array(nothing), F.col("basket"))).alias("place", "category_a")
+    others = F.when(F.col("place") > 0, F.slice("basket", F.col("place"), F.size("basket"))).otherwise(F.array(nothing))
+    counted = durable(
+        baskets.select("user_id", "orders", "revenue", "basket", first)
+        .select("user_id", "orders", "revenue", "category_a", F.explode(others).alias("category_b"))
         .groupBy("category_a", "category_b")
         .agg(
             F.sum("orders").alias("orders_with_pair"),
@@ -53,13 +49,13 @@ def basket_affinity(fact: DataFrame, dim_products: DataFrame) -> DataFrame:
     )
 
     # At most one row per category pair from here on.
-    alone = F.when(F.col("category_a") == F.col("category_b"), F.col("orders_with_pair"))
-    overall = F.when(F.col("category_a").isNull(), F.col("orders_with_pair"))
+    alone = counted.where(F.col("category_a") == F.col("category_b"))
+    whole = counted.where(F.col("category_a").isNull()).agg(F.max("orders_with_pair")).scalar()
     pairs = (
-        counted.withColumn("category_a_orders", F.max(alone).over(Window.partitionBy("category_a")))
-        .withColumn("category_b_orders", F.max(alone).over(Window.partitionBy("category_b")))
-        .withColumn("_total", F.max(overall).over(all_groups()))
-        .where(F.col("category_a") < F.col("category_b"))
+        counted.where(F.col("category_a") < F.col("category_b"))
+        .join(alone.select("category_a", F.col("orders_with_pair").alias("category_a_orders")), "category_a")
+        .join(alone.select("category_b", F.col("orders_with_pair").alias("category_b_orders")), "category_b")
+        .withColumn("_total", whole)
     )
     actual = ratio("orders_with_pair", "_total")
     expected = ratio("category_a_orders", "_total") * ratio("category_b_orders", "_total")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
+import sys
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tradewind.functions.bands import first_match
@@ -20,6 +21,11 @@ from tradewind.params import NO_PURCHASE_SEGMENT
 CLUSTER_FEATURES = ("Recency", "Monetary", "aov", "category_diversity", "return_rate_pct")
 PROFILE = ("Recency", "Frequency", "Monetary", "aov", "category_diversity", "return_rate_pct")
 CANDIDATE_COUNTS = range(2, 8)
+#: Sums of features are held in whole parts of this size.
+UNIT = float(1 << 24)
+
+# The summing function travels with the task, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Recency of users without a purchase, and cluster names from the most to the least valuable.
 NEVER = 9999
@@ -88,7 +94,7 @@ def cluster_profile(clustered: DataFrame) -> DataFrame:
 
 
 def standardize(enriched: DataFrame, features: Sequence[str] = CLUSTER_FEATURES) -> DataFrame:
-    """Adds the vector of features with mean 0 and population deviation 1; a constant feature is only centred."""
+    """Adds the array `scaled` of features with mean 0 and population deviation 1; a constant feature is only centred."""
     stats = enriched.agg(
         *[F.avg(c).alias(f"{c}_mean") for c in features], *[F.stddev_pop(c).alias(f"{c}_sd") for c in features]
     )
@@ -97,24 +103,124 @@ def standardize(enriched: DataFrame, features: Sequence[str] = CLUSTER_FEATURES)
         deviation = F.col(f"_stats.{c}_sd")
         return (F.col(c) - F.col(f"_stats.{c}_mean")) / F.when(deviation == 0, 1.0).otherwise(deviation)
 
-    scaled = with_row(enriched, stats, "_stats").withColumns({f"_{c}": centred(c) for c in features}).drop("_stats")
-    assembler = VectorAssembler(inputCols=[f"_{c}" for c in features], outputCol="scaled")
-    return assembler.transform(scaled).drop(*[f"_{c}" for c in features])
+    return with_row(enriched, stats, "_stats").withColumn("scaled", F.array(*map(centred, features))).drop("_stats")
 
 
-def fit_kmeans(
-    vectors: DataFrame, k: int, seed: int = 42, restarts: int = 10, parallelism: int = 4, max_iter: int = 100
-) -> tuple[KMeansModel, float]:
-    """The best of several starts, each of at most `max_iter` rounds, and its within-cluster sum of squares."""
+@dataclass(frozen=True)
+class Fit:
+    """One start of one cluster count: its centers, within-cluster sum of squares, rounds, and whether it came to rest."""
+
+    k: int
+    start: int
+    centers: np.ndarray
+    cost: float
+    rounds: int
+    converged: bool
+
+
+def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances (rows, centers), each summed feature by feature: the same for a row in whatever batch it comes."""
+    out = np.zeros((len(x), len(centers)))
+    for i in range(centers.shape[1]):
+        out += (x[:, i : i + 1] - centers[:, i]) ** 2
+    return out
+
+
+def starting_centers(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Rows of the sample, each drawn with a chance in proportion to its squared distance from those already drawn."""
+    rng = np.random.default_rng(seed)
+    centers = sample[rng.integers(len(sample))][None]
+    while len(centers) < k:
+        far = _distances(sample, centers).min(axis=1)
+        if not far.any():  # fewer distinct rows than centers
+            far = np.ones(len(sample))
+        centers = np.vstack([centers, sample[rng.choice(len(sample), p=far / far.sum())]])
+    return centers
+
+
+def _sum_up(vectors: DataFrame, runs: list[np.ndarray]) -> dict[tuple[int, int], tuple[int, np.ndarray, float]]:
+    """(run, cluster) to the number, sums and squared distances of the rows nearest to each center of each run.
+
+    One pass over `vectors` serves all runs. A task adds up whole numbers, parts of `UNIT`, so sums are exact and the order
+    in which tasks are merged or retried does not matter. The driver gets one row per center.
+    """
+    width = runs[0].shape[1]
+    bounds = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
+    centers = np.vstack(runs)
+    unit = UNIT
 
-    @inheritable_thread_target(vectors.sparkSession)
-    def fit(start: int) -> tuple[float, int, KMeansModel]:
-        model = KMeans(featuresCol="scaled", predictionCol="cluster", k=k, seed=seed + start, maxIter=max_iter).fit(vectors)
-        return model.summary.trainingCost, start, model
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(centers), np.int64)
+        sums = np.zeros((len(centers), width + 1), np.int64)
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            parts = np.rint(x * unit).astype(np.int64)
+            away = _distances(x, centers)
+            for low, high in zip(bounds, bounds[1:]):
+                own = low + away[:, low:high].argmin(axis=1)
+                n += np.bincount(own, minlength=len(centers))
+                squares = np.rint(away[np.arange(len(x)), own] * unit).astype(np.int64)
+                order = np.argsort(own, kind="stable")
+                first = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1])) if len(own) else []
+                if len(own):
+                    each = np.column_stack([parts, squares])[order]
+                    sums[own[order][first]] += np.add.reduceat(each, first, axis=0)
+        columns = [pa.array(np.arange(len(centers))), pa.array(n), *[pa.array(c) for c in sums.T]]
+        yield pa.RecordBatch.from_arrays(columns, names=["center", "n", *[f"s{i}" for i in range(width + 1)]])
 
-    with ThreadPool(min(parallelism, restarts)) as pool:
-        cost, _, model = min(pool.map(fit, range(restarts)), key=lambda result: result[:2])
-    return model, cost
+    schema = "center long, n long, " + ", ".join(f"s{i} long" for i in range(width + 1))
+    names = ["n", *[f"s{i}" for i in range(width + 1)]]
+    parts = vectors.select("scaled").mapInArrow(run, schema)
+    out = {}
+    for r in parts.groupBy("center").agg(*[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in names]).collect():
+        nr = int(np.searchsorted(bounds, r["center"], "right")) - 1
+        sums = np.array([float(r[f"s{i}"]) for i in range(width + 1)]) / UNIT
+        out[nr, r["center"] - int(bounds[nr])] = (int(r["n"]), sums[:-1], sums[-1])
+    return out
+
+
+def fit_kmeans(
+    vectors: DataFrame,
+    counts: Sequence[int],
+    seed: int = 42,
+    restarts: int = 10,
+    max_iter: int = 100,
+    tolerance: float = 1e-4,
+    start_rows: int = 4096,
+) -> list[Fit]:
+    """The best of `restarts` starts for each cluster count. `vectors` has the array `scaled` and should be durable.
+
+    Every round moves the centers of all counts and starts that are not yet at rest in one pass over all rows; a last pass
+    takes the costs. A start is at rest when its centers move by no more than `tolerance` in squares; `converged` says
+    whether it was within `max_iter` rounds. First centers are drawn from the `start_rows` rows of smallest hash, which
+    bounds what the driver holds; an empty cluster keeps its center.
+    """
+    picked = vectors.select("scaled").orderBy(F.xxhash64("scaled"), "scaled").limit(start_rows).collect()
+    if not picked:
+        raise ValueError("no rows to cluster")
+    sample = np.array([r["scaled"] for r in picked], float)
+    keys = [(k, start) for k in counts for start in range(restarts)]
+    centers = {(k, start): starting_centers(sample, k, seed + start) for k, start in keys}
+    rounds, moving = dict.fromkeys(keys, 0), list(keys)
+    for _ in range(max_iter):
+        if not moving:
+            break
+        found = _sum_up(vectors, [centers[key] for key in moving])
+        still = []
+        for nr, key in enumerate(moving):
+            new = centers[key].copy()
+            for c in range(key[0]):
+                n, sums, _ = found[nr, c]
+                if n:
+                    new[c] = sums / n
+            if ((new - centers[key]) ** 2).sum() > tolerance:
+                still.append(key)
+            centers[key], rounds[key] = new, rounds[key] + 1
+        moving = still
+    found = _sum_up(vectors, [centers[key] for key in keys])
+    costs = {key: float(sum(found[nr, c][2] for c in range(key[0]))) for nr, key in enumerate(keys)}
+    best = {k: min((costs[k, start], start) for start in range(restarts))[1] for k in counts}
+    return [Fit(k, best[k], centers[k, best[k]], costs[k, best[k]], rounds[k, best[k]], (k, best[k]) not in moving) for k in counts]
 
 
 def elbow(costs: Sequence[float]) -> int:
@@ -125,14 +231,30 @@ def elbow(costs: Sequence[float]) -> int:
     return max(2, min(second.index(min(second)) + 3, 7))
 
 
-def choose_cluster_count(vectors: DataFrame, restarts: int = 10) -> tuple[int, DataFrame]:
-    """The chosen count and the cost of every candidate count."""
-    costs = [(k, float(fit_kmeans(vectors, k, restarts=restarts)[1])) for k in CANDIDATE_COUNTS]
-    chosen = elbow([cost for _, cost in costs])
-    table = vectors.sparkSession.createDataFrame(costs, "k int, inertia double")
+def _chosen(vectors: DataFrame, fits: Sequence[Fit]) -> tuple[int, DataFrame]:
+    chosen = elbow([fit.cost for fit in fits])
+    listed = [(fit.k, fit.cost, fit.rounds, fit.converged) for fit in fits]
+    table = vectors.sparkSession.createDataFrame(listed, "k int, inertia double, rounds int, converged boolean")
     return chosen, table.withColumn("chosen", F.col("k") == chosen)
 
 
+def choose_cluster_count(vectors: DataFrame, restarts: int = 10) -> tuple[int, DataFrame]:
+    """The chosen count, and the cost of every candidate count with its rounds and whether it came to rest."""
+    return _chosen(vectors, fit_kmeans(vectors, CANDIDATE_COUNTS, restarts=restarts))
+
+
+def nearest(vector: str, centers: np.ndarray) -> Column:
+    """Number of the nearest center; the first of equally near ones."""
+    cells = [
+        F.struct(
+            sum(((F.col(vector)[i] - float(v)) * (F.col(vector)[i] - float(v)) for i, v in enumerate(center)), F.lit(0.0)).alias("d"),
+            F.lit(nr).alias("nr"),
+        )
+        for nr, center in enumerate(centers)
+    ]
+    return F.array_min(F.array(*cells))["nr"]
+
+
 def label_clusters(profile: DataFrame) -> DataFrame:
     """Names by mean value, highest first, then by recency. `profile` has one row per cluster."""
     rank = F.row_number().over(Window.orderBy(F.col("Monetary").desc(), "Recency"))
@@ -143,10 +265,11 @@ def label_clusters(profile: DataFrame) -> DataFrame:
 def kmeans_clusters(enriched: DataFrame, k: int | None = None, restarts: int = 10) -> DataFrame:
     """Users with cluster id and name; without `k` the count is chosen by `choose_cluster_count`."""
     vectors = durable(standardize(durable(enriched)))
+    fits = fit_kmeans(vectors, CANDIDATE_COUNTS if k is None else [k], restarts=restarts)
     if k is None:
-        k, _ = choose_cluster_count(vectors, restarts)
-    model, _ = fit_kmeans(vectors, k, restarts=restarts)
-    assigned = model.transform(vectors).drop("scaled")
+        k, _ = _chosen(vectors, fits)
+    fit = next(fit for fit in fits if fit.k == k)
+    assigned = vectors.withColumn("cluster", nearest("scaled", fit.centers)).drop("scaled")
     profile = assigned.groupBy("cluster").agg(mean("Monetary").alias("Monetary"), mean("Recency").alias("Recency"))
     names = label_clusters(profile).select("cluster", "cluster_label")
     return assigned.join(F.broadcast(names), "cluster")  # k rows

@@ -13,13 +13,16 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tradewind.functions.durable import durable
 from tradewind.functions.numeric import mean, round_even
-from tradewind.operators.series import HORIZON, backtest_metrics, regular_monthly, top_categories
+from tradewind.operators.series import (
+    HORIZON, backtest_metrics, regular_monthly, seasonal_naive_backtest, seasonal_naive_forecast, top_categories,
+)
 
 MODEL_TYPE = "trend_season_ridge"
+FALLBACK_TYPE = "seasonal_naive_fallback"
 
 # Searched parameters, sale months and the fourth quarter.
 TREND_SCALES = (0.01, 0.05, 0.1)
@@ -92,7 +95,8 @@ def _fit_predict(train: pd.DataFrame, ds: pd.Series, p: FitParams) -> tuple[np.n
 def _fit(requests: DataFrame, grid: list[FitParams]) -> DataFrame:
     """One fit per (category, fold, params) group of `requests`, which holds the series (ds, y) of each.
 
-    Fold `test` holds out the last twelve months and predicts them, fold `future` predicts the next twelve.
+    Fold `test` holds out the last twelve months and predicts them, fold `future` predicts the next twelve. A fit that
+    cannot be made, or gives no finite number, has no predictions; the other groups are not touched by it.
     """
 
     def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -106,7 +110,13 @@ def _fit(requests: DataFrame, grid: list[FitParams]) -> DataFrame:
             last = pd.Timestamp(group["ds"].iloc[-1])
             ds = pd.Series([(last + pd.DateOffset(months=h)).date() for h in range(1, HORIZON + 1)])
             actual = np.full(HORIZON, np.nan)
-        yhat, spread = _fit_predict(train, ds, grid[i])
+        try:
+            with np.errstate(all="ignore"):
+                yhat, spread = _fit_predict(train, ds, grid[i])
+        except (ArithmeticError, ValueError, np.linalg.LinAlgError):
+            yhat, spread = np.full(HORIZON, np.nan), np.nan
+        if not (np.isfinite(yhat).all() and np.isfinite(spread)):
+            yhat = np.full(HORIZON, np.nan)
         return pd.DataFrame(
             {
                 "category": category,
@@ -151,22 +161,42 @@ def eligible_series(monthly: DataFrame, top_n: int = 3, least_months: int = 24)
     return durable(regular.withColumn("_n", months).where(F.col("_n") >= least_months).drop("_n"))
 
 
+def _fits(series: DataFrame, params: FitParams) -> tuple[DataFrame, DataFrame]:
+    """Both folds of every series, and (category, fallback): true where a fold has no predictions."""
+    fitted = durable(_fit_all(series, [params], "test", "future"))
+    return fitted, fitted.groupBy("category").agg((F.count("yhat") < F.count("*")).alias("fallback"))
+
+
+def _or_naive(future: DataFrame, series: DataFrame, fates: DataFrame) -> DataFrame:
+    """Forecast rows with `model_type`; a series with `fallback` has the rows of the seasonal-naive forecast instead."""
+    columns = ["category", "ds", "yhat", "yhat_lower", "yhat_upper", "mape_pct"]
+    fates = F.broadcast(fates)  # a row per category of the top
+    fitted = future.join(fates, "category").where(~F.col("fallback")).select(*columns, F.lit(MODEL_TYPE).alias("model_type"))
+    naive = seasonal_naive_forecast(series).join(fates, "category").where("fallback")
+    return fitted.unionByName(naive.select(*columns, F.lit(FALLBACK_TYPE).alias("model_type")))
+
+
 def forecast_top_categories(monthly: DataFrame, top_n: int = 3, params: FitParams = FitParams()) -> DataFrame:
-    """Twelve months ahead with bands and the backtest error."""
+    """Twelve months ahead with bands and the backtest error.
+
+    A series whose fit fails gets the seasonal-naive forecast with its error; `model_type` tells which of the two it is.
+    """
     series = eligible_series(monthly, top_n)
-    fitted = durable(_fit_all(series, [params], "test", "future"))
+    fitted, fates = _fits(series, params)
     tests = fitted.where(F.col("fold") == "test").select("category", "ds", "actual", F.col("yhat").alias("predicted"))
     errors = backtest_metrics(tests).select("category", round_even("mape_pct", 2).alias("mape_pct"))
-    return (
-        fitted.where(F.col("fold") == "future")
-        .join(F.broadcast(errors), "category", "left")
-        .select("category", "ds", "yhat", "yhat_lower", "yhat_upper", "mape_pct", F.lit(MODEL_TYPE).alias("model_type"))
-    )
+    future = fitted.where(F.col("fold") == "future").join(F.broadcast(errors), "category", "left")
+    return _or_naive(future, series, fates)
 
 
 def _errors(series: DataFrame, params: FitParams) -> DataFrame:
-    tests = _fit_all(series, [params], "test")
-    return backtest_metrics(tests.select("category", "ds", "actual", F.col("yhat").alias("predicted")))
+    """Backtest errors and the model type per category, of the seasonal-naive forecast where the fit fails."""
+    fitted, fates = _fits(series, params)
+    tests = fitted.where(F.col("fold") == "test").select("category", "ds", "actual", F.col("yhat").alias("predicted"))
+    both = tests.withColumn("naive", F.lit(False)).unionByName(seasonal_naive_backtest(series).withColumn("naive", F.lit(True)))
+    used = both.join(F.broadcast(fates), "category").where(F.col("naive") == F.col("fallback"))
+    kind = F.when(F.col("fallback"), FALLBACK_TYPE).otherwise(MODEL_TYPE)
+    return backtest_metrics(used).join(F.broadcast(fates.select("category", kind.alias("model_type"))), "category")
 
 
 def forecast_backtest(monthly: DataFrame, top_n: int = 3, params: FitParams = FitParams()) -> DataFrame:
@@ -178,7 +208,7 @@ def forecast_backtest(monthly: DataFrame, top_n: int = 3, params: FitParams = Fi
 def forecast_evaluation(monthly: DataFrame, top_n: int = 3, params: FitParams = FitParams()) -> DataFrame:
     """Backtest span and error per category."""
     series = eligible_series(monthly, top_n)
-    errors = _errors(series, params).select("category", round_even("mape_pct", 2).alias("mape_pct"))
+    errors = _errors(series, params).select("category", round_even("mape_pct", 2).alias("mape_pct"), "model_type")
     spans = series.groupBy("category").agg(
         F.count("*").alias("_n"), F.min("ds").alias("train_start"), F.max("ds").alias("_last")
     )
@@ -189,25 +219,30 @@ def forecast_evaluation(monthly: DataFrame, top_n: int = 3, params: FitParams =
         "mape_pct",
         "train_start",
         F.add_months("_last", -HORIZON).alias("train_end"),
-        F.lit(MODEL_TYPE).alias("model_type"),
+        "model_type",
     )
 
 
 def _grid_errors(series: DataFrame, grid: list[FitParams]) -> DataFrame:
+    """Backtest error per category and parameter set; null where the fit failed."""
     tests = _fit_all(series, grid, "test")
     ape = F.when(F.col("actual") != 0, F.abs(F.try_divide(F.col("actual") - F.col("yhat"), F.col("actual"))))
-    return tests.groupBy("category", "params").agg((mean(ape) * 100).alias("mape"))
+    error = F.when(F.count("yhat") == F.count("*"), mean(ape) * 100)
+    return tests.groupBy("category", "params").agg(error.alias("mape"))
+
+
+def _best(condition: Column) -> Column:
+    """The parameter set with the smallest error among those that could be fitted."""
+    return F.min(F.when(F.col("mape").isNotNull() & condition, F.struct("mape", "params")))
 
 
 def tune_forecast(monthly: DataFrame, top_n: int = 3) -> DataFrame:
-    """The parameter set with the smallest backtest error per category."""
+    """The parameter set with the smallest backtest error per category; null where none could be fitted."""
     grid = parameter_grid()
     cells = [
         F.struct(*[F.lit(v).alias(k) for k, v in asdict(p).items() if k != "calendar"]) for p in grid
     ]
-    best = _grid_errors(eligible_series(monthly, top_n), grid).groupBy("category").agg(
-        F.min(F.struct("mape", "params")).alias("best")
-    )
+    best = _grid_errors(eligible_series(monthly, top_n), grid).groupBy("category").agg(_best(F.lit(True)).alias("best"))
     return best.select(
         "category",
         round_even("best.mape", 2).alias("best_mape_pct"),
@@ -216,23 +251,20 @@ def tune_forecast(monthly: DataFrame, top_n: int = 3) -> DataFrame:
 
 
 def tuned_forecast(monthly: DataFrame, top_n: int = 3) -> DataFrame:
-    """Twelve months ahead with each category's best parameters and the calendar columns."""
+    """Twelve months ahead with each category's best parameters and the calendar columns, seasonal-naive where no fit can be made."""
     series = eligible_series(monthly, top_n)
-    best = (
-        _grid_errors(series, parameter_grid())
-        .groupBy("category")
-        .agg(F.min(F.struct("mape", "params"))["params"].alias("params"))
-    )
+    best = _grid_errors(series, parameter_grid()).groupBy("category").agg(F.coalesce(_best(F.lit(True))["params"], F.lit(0)).alias("params"))
     requests = series.join(F.broadcast(best), "category")  # top_n rows
-    return _fit(requests.withColumn("fold", F.lit("future")), parameter_grid(calendar=True)).select(
-        "category", "ds", "yhat", "yhat_lower", "yhat_upper"
-    )
+    fitted = durable(_fit(requests.withColumn("fold", F.lit("future")), parameter_grid(calendar=True)))
+    fates = fitted.groupBy("category").agg((F.count("yhat") < F.count("*")).alias("fallback"))
+    future = fitted.withColumn("mape_pct", F.lit(None).cast("double"))
+    return _or_naive(future, series, fates).select("category", "ds", "yhat", "yhat_lower", "yhat_upper")
 
 
 def calendar_effect(monthly: DataFrame, top_n: int = 3) -> DataFrame:
     """Backtest error of the best parameter set per category, and of the same set with the calendar columns added."""
     plain, events = parameter_grid(), parameter_grid(calendar=True)
-    best = F.min(F.when(F.col("params") < len(plain), F.struct("mape", "params")))
+    best = _best(F.col("params") < len(plain))
     # One entry per parameter set.
     return (
         _grid_errors(eligible_series(monthly, top_n), plain + events)

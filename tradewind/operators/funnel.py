@@ -106,40 +106,54 @@ def _journey(sources: DataFrame, users: str) -> DataFrame:
     )
 
 
+def _stages_by(events: DataFrame, owner: str, name: str) -> DataFrame:
+    """One row per source with, for each stage and for all its events, how many and of how many distinct owners.
+
+    Events are reduced to one row per source and owner first; a missing owner is none.
+    """
+    whole = len(JOURNEY_STAGES)
+    of_stage = [F.col("event_type") == s for s in JOURNEY_STAGES] + [F.lit(True)]
+    seen = [F.count_if(of).alias(f"_seen{i}") for i, of in enumerate(of_stage)]
+    counted = [F.count(F.when(of, F.col("id"))).alias(f"_events{i}") for i, of in enumerate(of_stage)]
+    per_owner = events.groupBy("traffic_source", owner).agg(*seen, *counted)
+    known = F.col(owner).isNotNull()
+    cells = [
+        F.struct(
+            F.sum(f"_events{i}").alias("event_count"),
+            F.count_if(known & (F.col(f"_seen{i}") > 0)).alias(name),
+            F.sum(f"_seen{i}").alias("seen"),
+        )
+        for i in range(whole + 1)
+    ]
+    return per_owner.groupBy("traffic_source").agg(*[c.alias(f"_{name}{i}") for i, c in enumerate(cells)])
+
+
 def journey_by_source(events: DataFrame) -> DataFrame:
     """Six stages per source, absent ones as zero, with shares of the source and session conversion.
 
-    Stages and source totals are two grouping sets of one scan.
+    Events are reduced to sessions of a source and to users of a source, each with a count per stage, and these to sources;
+    so a distinct count is a count of rows, and no event is multiplied.
     """
-    source, kind = F.col("traffic_source"), F.col("event_type")
-    counted = (
-        events.where(source.isNotNull())
-        .groupingSets([[source, kind], [source]], source, kind)
-        .agg(
-            F.grouping("event_type").alias("_whole"),
-            F.count("id").alias("event_count"),
-            F.countDistinct("session_id").alias("sessions"),
-            F.countDistinct("user_id").alias("unique_users"),
-        )
-    )
-    measures = F.struct("event_count", "sessions", "unique_users")
-    in_grid = (F.col("_whole") == 0) & F.col("event_type").isin(*JOURNEY_STAGES)
-    # A few rows per source.
-    sources = (
-        counted.groupBy("traffic_source")
-        .agg(
-            F.max(F.when(F.col("_whole") == 1, measures)).alias("s"),
-            F.map_from_entries(
-                F.array_compact(F.collect_list(F.when(in_grid, F.struct("event_type", measures.alias("m")))))
-            ).alias("at"),
-        )
-        .select(
-            "traffic_source",
-            "at",
-            F.col("s.event_count").alias("source_event_count"),
-            F.col("s.sessions").alias("source_sessions"),
-            F.col("s.unique_users").alias("source_unique_users"),
+    known = events.where(F.col("traffic_source").isNotNull())
+    whole = len(JOURNEY_STAGES)
+    # One row per source from here on.
+    both = _stages_by(known, "session_id", "sessions").join(_stages_by(known, "user_id", "unique_users"), "traffic_source")
+    entries = [
+        F.when(
+            F.col(f"_sessions{i}.seen") > 0,
+            F.struct(
+                F.lit(stage).alias("event_type"),
+                F.struct(f"_sessions{i}.event_count", f"_sessions{i}.sessions", f"_unique_users{i}.unique_users").alias("m"),
+            ),
         )
+        for i, stage in enumerate(JOURNEY_STAGES)
+    ]
+    sources = both.select(
+        "traffic_source",
+        F.map_from_entries(F.array_compact(F.array(*entries))).alias("at"),
+        F.col(f"_sessions{whole}.event_count").alias("source_event_count"),
+        F.col(f"_sessions{whole}.sessions").alias("source_sessions"),
+        F.col(f"_unique_users{whole}.unique_users").alias("source_unique_users"),
     )
     return _journey(sources, "unique_users")
 

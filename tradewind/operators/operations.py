@@ -161,6 +161,13 @@ def fulfillment(orders: DataFrame) -> DataFrame:
     return to_metrics(row, metrics)
 
 
+def no_fulfillment(fact: DataFrame) -> DataFrame:
+    """The row that stands for the fulfillment times where the raw orders are not at hand."""
+    # Metric and note.
+    row = F.struct(F.lit("Fulfillment Data").alias("metric"), F.lit(None).cast("double").alias("value"), F.lit("Raw orders unavailable").alias("unit"))
+    return fact.sparkSession.range(1).select(F.inline(F.array(row)))
+
+
 def root_cause_proxy(
     fact: DataFrame, dim_products: DataFrame, orders: DataFrame | None, params: Params = Params()
 ) -> DataFrame:

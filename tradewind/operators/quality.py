@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tradewind.functions.numeric import flag_total, ratio0, round_even, total
-from tradewind.functions.ranking import split_long_groups
+from tradewind.functions.ranking import SLICE_ROWS, split_long_groups
 from tradewind.functions.reshape import to_checks, with_row
 from tradewind.operators.clean import clean_order_items, orders_for_analysis
 from tradewind.params import Params
@@ -29,23 +30,46 @@ def _null_counts(name: str, df: DataFrame) -> DataFrame:
     )
 
 
-def _repeated_keys(name: str, df: DataFrame) -> Column:
-    """Rows beyond the first of each key, a missing key being one key. Only the key column is shuffled."""
-    per_key = df.groupBy(PRIMARY_KEYS[name]).agg(F.count("*").alias("n"))
-    return per_key.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).scalar()
+def per_key_counts(
+    name: str, df: DataFrame, sections: Mapping[str, Mapping[str, Column]], repeats_in: str | None = None
+) -> DataFrame:
+    """One row: the table's `profile` (rows, cols, duplicate_pk, null_cells) and `cells`, (section, check, value) of its rules.
+
+    One pass per table: rows, null cells and rows that meet each rule are counted per primary key, a missing key being one
+    key, and then added up. A row beyond the first of its key is a repeated one; `repeats_in` names a section that lists
+    all copies of repeated keys. Only counts are shuffled, merged per task before.
+    """
+    rules = [(section, check, rule) for section, named in sections.items() for check, rule in named.items()]
+    nulls = sum((F.col(c).isNull().cast("int") for c in df.columns), F.lit(0))
+    per_key = df.groupBy(PRIMARY_KEYS[name]).agg(
+        F.count("*").alias("n"),
+        F.sum(nulls).alias("nulls"),
+        *[F.count_if(rule).alias(f"_{i}") for i, (_, _, rule) in enumerate(rules)],
+    )
+
+    def added(value: Column) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0))
+
+    values = [(section, check, added(F.col(f"_{i}"))) for i, (section, check, _) in enumerate(rules)]
+    if repeats_in:
+        values.insert(0, (repeats_in, f"duplicate_{name[:-1]}_ids", added(F.when(F.col("n") > 1, F.col("n")))))
+    cells = [F.struct(F.lit(s).alias("section"), F.lit(c).alias("check"), v.cast("double").alias("value")) for s, c, v in values]
+    profile = F.struct(
+        added(F.col("n")).alias("rows"),
+        F.lit(len(df.columns)).alias("cols"),
+        added(F.col("n") - 1).alias("duplicate_pk"),
+        added(F.col("nulls")).alias("null_cells"),
+    )
+    return per_key.agg(F.lit(name).alias("table"), profile.alias("profile"), F.array(*cells).alias("cells"))
+
+
+def _cells(row: DataFrame) -> DataFrame:
+    return row.select(F.inline("cells"))
 
 
 def profile_tables(raw: RawTables) -> DataFrame:
     """Rows, columns, repeated keys and null cells per table."""
-    null_cells = F.aggregate("nulls", F.lit(0).cast("bigint"), lambda acc, x: acc + x["nulls"])
-    return union(
-        [
-            _null_counts(name, df).select(
-                "table", "rows", "cols", _repeated_keys(name, df).alias("duplicate_pk"), null_cells.alias("null_cells")
-            )
-            for name, df in raw.items()
-        ]
-    )
+    return union([per_key_counts(name, df, {}).select("table", "profile.*") for name, df in raw.items()])
 
 
 def profile_columns(raw: RawTables) -> DataFrame:
@@ -62,34 +86,69 @@ def profile_columns(raw: RawTables) -> DataFrame:
     )
 
 
+def counted(df: DataFrame, rules: Mapping[str, Column], section: str) -> DataFrame:
+    """How many rows meet each of the named conditions."""
+    return to_checks(df.agg(*[F.count_if(rule).alias(name) for name, rule in rules.items()]), section)
+
+
 def not_after(later: str, earlier: str) -> Column:
     """Both dates known and the one that should be later is not; equal dates break the rule."""
-    return F.count_if(F.col(later) <= F.col(earlier))
+    return F.col(later) <= F.col(earlier)
 
 
-def order_date_checks(orders: DataFrame) -> DataFrame:
-    row = orders.agg(
-        not_after("shipped_at", "created_at").alias("shipped_before_created"),
-        not_after("delivered_at", "shipped_at").alias("delivered_before_shipped"),
-        not_after("returned_at", "delivered_at").alias("returned_before_delivered"),
-        F.count_if(F.col("num_of_item") < 0).alias("negative_num_of_item"),
-    )
-    return to_checks(row, "date_validation")
+def order_date_rules() -> dict[str, Column]:
+    return {
+        "shipped_before_created": not_after("shipped_at", "created_at"),
+        "delivered_before_shipped": not_after("delivered_at", "shipped_at"),
+        "returned_before_delivered": not_after("returned_at", "delivered_at"),
+        "negative_num_of_item": F.col("num_of_item") < 0,
+    }
 
 
-def order_status_checks(orders: DataFrame) -> DataFrame:
+def order_status_rules() -> dict[str, Column]:
     """Dates that do not fit the status, whatever its case."""
     status = F.lower("status")
     cancelled, returned = status == "cancelled", status == "returned"
-    row = orders.agg(
-        F.count_if(cancelled & F.col("shipped_at").isNotNull()).alias("cancelled_with_shipped_at"),
-        F.count_if(cancelled & F.col("delivered_at").isNotNull()).alias("cancelled_with_delivered_at"),
-        F.count_if(cancelled & F.col("returned_at").isNotNull()).alias("cancelled_with_returned_at"),
-        F.count_if(returned & F.col("delivered_at").isNull()).alias("returned_without_delivered_at"),
-        F.count_if(returned & F.col("returned_at").isNull()).alias("returned_without_returned_at"),
-        F.count_if(F.col("num_of_item") < 0).alias("negative_num_of_item"),
-    )
-    return to_checks(row, "order_status_validation")
+    return {
+        "cancelled_with_shipped_at": cancelled & F.col("shipped_at").isNotNull(),
+        "cancelled_with_delivered_at": cancelled & F.col("delivered_at").isNotNull(),
+        "cancelled_with_returned_at": cancelled & F.col("returned_at").isNotNull(),
+        "returned_without_delivered_at": returned & F.col("delivered_at").isNull(),
+        "returned_without_returned_at": returned & F.col("returned_at").isNull(),
+        "negative_num_of_item": F.col("num_of_item") < 0,
+    }
+
+
+def user_rules(params: Params) -> dict[str, Column]:
+    """Missing values, and ages outside the accepted range."""
+    age = F.col("age")
+    return {
+        "null_age": age.isNull(),
+        "null_gender": F.col("gender").isNull(),
+        "null_city": F.col("city").isNull(),
+        "invalid_age": (age < params.min_age) | (age > params.max_age),
+    }
+
+
+def product_rules() -> dict[str, Column]:
+    return {
+        "null_category": F.col("category").isNull(),
+        "null_cost": F.col("cost").isNull(),
+        "null_retail_price": F.col("retail_price").isNull(),
+        "cost_greater_than_retail_price": F.col("cost") > F.col("retail_price"),
+    }
+
+
+def center_rules() -> dict[str, Column]:
+    return {f"null_{c}": F.col(c).isNull() for c in ("name", "latitude", "longitude")}
+
+
+def order_date_checks(orders: DataFrame) -> DataFrame:
+    return counted(orders, order_date_rules(), "date_validation")
+
+
+def order_status_checks(orders: DataFrame) -> DataFrame:
+    return counted(orders, order_status_rules(), "order_status_validation")
 
 
 def event_source_checks(events: DataFrame, users: DataFrame) -> DataFrame:
@@ -108,17 +167,17 @@ def event_source_checks(events: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
-def session_time_checks(events: DataFrame) -> DataFrame:
+def session_time_checks(events: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Events whose time lies before that of the preceding event of their session.
 
-    Sessions too large for one task are cut into slices in event order. Within a slice the preceding event is
+    Sessions of more than `slice_rows` events are cut into slices in event order. Within a slice the preceding event is
     a lag; between slices the last time of one is compared with the first of the next.
     """
     order = F.struct("sequence_number", "created_at", "id")
     keyed = events.where(F.col("session_id").isNotNull()).select(
         "session_id", "created_at", "id", order.alias("order")
     )
-    sliced = split_long_groups(keyed, "session_id", "order", "id")
+    sliced = split_long_groups(keyed, "session_id", "order", "id", slice_rows)
     in_slice = Window.partitionBy("session_id", "_slice").orderBy("order")
     slices = (
         sliced.withColumn("_back", F.col("created_at") < F.lag("created_at").over(in_slice))
@@ -149,34 +208,15 @@ def session_time_checks(events: DataFrame) -> DataFrame:
 
 def user_checks(users: DataFrame, params: Params = Params()) -> DataFrame:
     """All copies of repeated ids, missing values, and ages outside the accepted range."""
-    age = F.col("age")
-    per_id = users.groupBy("id").agg(
-        F.count("*").alias("rows"),
-        F.count_if(age.isNull()).alias("null_age"),
-        F.count_if(F.col("gender").isNull()).alias("null_gender"),
-        F.count_if(F.col("city").isNull()).alias("null_city"),
-        F.count_if((age < params.min_age) | (age > params.max_age)).alias("invalid_age"),
-    )
-    row = per_id.agg(
-        F.coalesce(F.sum(F.when(F.col("rows") > 1, F.col("rows"))), F.lit(0)).alias("duplicate_user_ids"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("null_age", "null_gender", "null_city", "invalid_age")],
-    )
-    return to_checks(row, "users_validation")
+    return _cells(per_key_counts("users", users, {"users_validation": user_rules(params)}, "users_validation"))
 
 
 def product_checks(products: DataFrame) -> DataFrame:
-    row = products.agg(
-        F.count_if(F.col("category").isNull()).alias("null_category"),
-        F.count_if(F.col("cost").isNull()).alias("null_cost"),
-        F.count_if(F.col("retail_price").isNull()).alias("null_retail_price"),
-        F.count_if(F.col("cost") > F.col("retail_price")).alias("cost_greater_than_retail_price"),
-    )
-    return to_checks(row, "products_validation")
+    return counted(products, product_rules(), "products_validation")
 
 
 def center_checks(dcs: DataFrame) -> DataFrame:
-    row = dcs.agg(*[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in ("name", "latitude", "longitude")])
-    return to_checks(row, "dcs_validation")
+    return counted(dcs, center_rules(), "dcs_validation")
 
 
 def item_checks(clean_items: DataFrame) -> DataFrame:
@@ -189,43 +229,73 @@ def item_checks(clean_items: DataFrame) -> DataFrame:
     return to_checks(row, "order_item_quality")
 
 
-def orphans(
-    child: DataFrame, key: str, parent: DataFrame, parent_key: str, count_nulls: bool = False
+def tagged_keys(
+    children: Mapping[str, DataFrame], rules: Sequence[tuple], count_nulls: bool = False, row_of: str = "", **extra: Column
 ) -> DataFrame:
-    """One row (checked_rows, orphan_rows). Keys are counted before they are looked up.
+    """(rule, parent, key, n, ...): how often each key occurs under each rule (rule, child, column, parent, parent's column).
 
-    A missing key is left out, or with `count_nulls` counted as an orphan.
+    A child is read once, whatever the number of its rules: a row becomes one entry per rule, and entries are counted per
+    key before anything is looked up. A missing key is left out, or with `count_nulls` is a key of its own. `extra` has
+    aggregates over `row`, the time and price of the entries of the child `row_of`.
     """
-    rows = child if count_nulls else child.where(F.col(key).isNotNull())
-    keys = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n"))
-    known = parent.select(F.col(parent_key).alias("_key")).distinct().withColumn("_known", F.lit(True))
-    return keys.join(known, "_key", "left").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("checked_rows"),
-        F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("n"))), F.lit(0)).alias("orphan_rows"),
-    )
+    entries = []
+    for child, df in children.items():
+        own = [r for r in rules if r[1] == child]
+        cells = [F.struct(F.lit(rule).alias("rule"), F.lit(parent).alias("parent"), F.col(c).alias("key")) for rule, _, c, parent, _ in own]
+        # The columns that are added up on the way, and their types.
+        row = F.struct(
+            *[
+                (F.col(c) if child == row_of else F.lit(None).cast(t)).alias(c)
+                for c, t in (("created_at", "timestamp_ntz"), ("sale_price", "double"))
+            ]
+        )
+        entries.append(df.select(F.inline(F.array(*cells)), *([row.alias("row")] if extra else [])))
+    listed = union(entries)
+    if not count_nulls:
+        listed = listed.where(F.col("key").isNotNull())
+    return listed.groupBy("rule", "parent", "key").agg(F.count("*").alias("n"), *[v.alias(k) for k, v in extra.items()])
 
 
 def foreign_key_checks(raw: RawTables) -> DataFrame:
+    """Rows with a known key and rows whose key the parent lacks, per rule: one read of each child, one join for all rules."""
     # Rule names.
     rules = [
-        ("orders.user_id_to_users.id", raw.orders, "user_id", raw.users, "id"),
-        ("order_items.order_id_to_orders.order_id", raw.order_items, "order_id", raw.orders, "order_id"),
-        ("order_items.user_id_to_users.id", raw.order_items, "user_id", raw.users, "id"),
-        ("order_items.product_id_to_products.id", raw.order_items, "product_id", raw.products, "id"),
-        ("products.distribution_center_id_to_dcs.id", raw.products, "distribution_center_id", raw.dcs, "id"),
-        ("inventory.product_id_to_products.id", raw.inventory, "product_id", raw.products, "id"),
+        ("orders.user_id_to_users.id", "orders", "user_id", "users", "id"),
+        ("order_items.order_id_to_orders.order_id", "order_items", "order_id", "orders", "order_id"),
+        ("order_items.user_id_to_users.id", "order_items", "user_id", "users", "id"),
+        ("order_items.product_id_to_products.id", "order_items", "product_id", "products", "id"),
+        ("products.distribution_center_id_to_dcs.id", "products", "distribution_center_id", "dcs", "id"),
+        ("inventory.product_id_to_products.id", "inventory", "product_id", "products", "id"),
         (
             "inventory.product_distribution_center_id_to_dcs.id",
-            raw.inventory,
+            "inventory",
             "product_distribution_center_id",
-            raw.dcs,
+            "dcs",
             "id",
         ),
-        ("events.user_id_to_users.id_non_null_only", raw.events, "user_id", raw.users, "id"),
+        ("events.user_id_to_users.id_non_null_only", "events", "user_id", "users", "id"),
     ]
-    return union(
-        [orphans(c, k, p, pk).select(F.lit(name).alias("rule"), "*") for name, c, k, p, pk in rules]
-    ).withColumn("orphan_pct", round_even(ratio0("orphan_rows", "checked_rows") * 100, 4))
+    tables = dict(raw.items())
+    keys = tagged_keys({c: tables[c] for c in ("orders", "order_items", "products", "inventory", "events")}, rules)
+    parents = {(parent, column) for *_, parent, column in rules}
+    known = union([tables[t].select(F.lit(t).alias("parent"), F.col(c).alias("key")) for t, c in sorted(parents)])
+    known = known.where(F.col("key").isNotNull()).distinct().withColumn("_known", F.lit(True))
+    counted = (
+        keys.join(known, ["parent", "key"], "left")
+        .groupBy("rule")
+        .agg(
+            F.sum("n").alias("checked_rows"),
+            F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("n"))), F.lit(0)).alias("orphan_rows"),
+        )
+    )
+    # A rule without any key has a row too.
+    listed = F.inline(F.array(*[F.struct(F.lit(r[0]).alias("rule")) for r in rules]))
+    every = raw.orders.sparkSession.range(1).select(listed)
+    return (
+        every.join(counted, "rule", "left")
+        .na.fill(0, ["checked_rows", "orphan_rows"])
+        .withColumn("orphan_pct", round_even(ratio0("orphan_rows", "checked_rows") * 100, 4))
+    )
 
 
 def issue_samples(raw: RawTables, clean_items: DataFrame, params: Params = Params()) -> dict[str, DataFrame]:
@@ -302,34 +372,62 @@ def scope_reconciliation(
 
 
 def raw_quality_checks(raw: RawTables) -> DataFrame:
-    """Orphans, missing users, time spans and item-count differences in one row. A null key counts as orphan."""
-
-    def lost(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> Column:
-        return orphans(child, key, parent, parent_key, count_nulls=True).select("orphan_rows").scalar()
+    """Orphans, missing users, time spans and item-count differences in one row. A null key counts as orphan.
 
+    Items are read once: the same counts per key give their orphans, their number per order, their time span and low prices.
+    """
+    rules = [
+        ("item_users", "order_items", "user_id", "users", "id"),
+        ("item_products", "order_items", "product_id", "products", "id"),
+        ("item_orders", "order_items", "order_id", "orders", "order_id"),
+        ("inventory_products", "inventory", "product_id", "products", "id"),
+    ]
+    keys = tagged_keys(
+        {"order_items": raw.order_items, "inventory": raw.inventory},
+        rules,
+        count_nulls=True,
+        row_of="order_items",
+        first=F.min("row.created_at"),
+        last=F.max("row.created_at"),
+        low=F.count_if(F.col("row.sale_price") < 1),
+    )
+    number = F.lit(None).cast("int").alias("number")
+    parents = [
+        raw.users.select(F.lit("users").alias("parent"), F.col("id").alias("key"), number),
+        raw.products.select(F.lit("products").alias("parent"), F.col("id").alias("key"), number),
+        raw.orders.select(F.lit("orders").alias("parent"), F.col("order_id").alias("key"), F.col("num_of_item").alias("number")),
+    ]
+    # Copies of an order stay apart, as each has a number of items of its own; a missing number differs from any count.
+    known = union(parents).where(F.col("key").isNotNull()).groupBy("parent", "key", "number").agg(F.count("*").alias("copies"))
+    of_items = F.col("rule") == "item_orders"
+    differs = F.coalesce(F.col("number") != F.col("n"), F.lit(True))
+    met = keys.join(known, ["parent", "key"], "left")
+
+    def lost(rule: str) -> Column:
+        return F.coalesce(F.sum(F.when((F.col("rule") == rule) & F.col("copies").isNull(), F.col("n"))), F.lit(0))
+
+    items = met.agg(
+        lost("item_users").alias("orphan_item_user_ids"),
+        lost("item_products").alias("orphan_item_product_ids"),
+        lost("item_orders").alias("orphan_item_order_ids"),
+        lost("inventory_products").alias("inventory_orphan_product_ids"),
+        F.min(F.when(of_items, F.col("first"))).alias("order_time_min"),
+        F.max(F.when(of_items, F.col("last"))).alias("order_time_max"),
+        F.coalesce(F.sum(F.when(F.col("rule") == "item_products", F.col("low"))), F.lit(0)).alias("sale_price_lt_1_items"),
+        F.coalesce(F.sum(F.when(of_items & differs, F.col("copies"))), F.lit(0)).alias("order_item_count_mismatch"),
+    )
     events = raw.events.agg(
         F.count("*").alias("n"),
         F.count_if(F.col("user_id").isNull()).alias("anonymous"),
         F.min("created_at").alias("first"),
         F.max("created_at").alias("last"),
     )
-    items = raw.order_items
-    counted = items.where(F.col("order_id").isNotNull()).groupBy("order_id").agg(F.count("*").alias("n"))
-    # A missing number differs from any count.
-    differs = raw.orders.join(counted, "order_id").agg(
-        F.count_if(F.coalesce(F.col("num_of_item") != F.col("n"), F.lit(True)))
-    )
     costly = raw.products.agg(F.count_if(F.col("cost") > F.col("retail_price")))
-    times = items.agg(
-        F.min("created_at").alias("order_time_min"),
-        F.max("created_at").alias("order_time_max"),
-        F.count_if(F.col("sale_price") < 1).alias("sale_price_lt_1_items"),
-    )
-    return with_row(times, events, "events").select(
-        lost(items, "user_id", raw.users, "id").alias("orphan_item_user_ids"),
-        lost(items, "product_id", raw.products, "id").alias("orphan_item_product_ids"),
-        lost(items, "order_id", raw.orders, "order_id").alias("orphan_item_order_ids"),
-        lost(raw.inventory, "product_id", raw.products, "id").alias("inventory_orphan_product_ids"),
+    return with_row(items, events, "events").select(
+        "orphan_item_user_ids",
+        "orphan_item_product_ids",
+        "orphan_item_order_ids",
+        "inventory_orphan_product_ids",
         ratio0("events.anonymous", "events.n").alias("events_user_id_null_pct"),
         F.col("events.first").alias("event_time_min"),
         F.col("events.last").alias("event_time_max"),
@@ -337,12 +435,22 @@ def raw_quality_checks(raw: RawTables) -> DataFrame:
         "order_time_max",
         "sale_price_lt_1_items",
         costly.scalar().alias("product_cost_gt_retail"),
-        differs.scalar().alias("order_item_count_mismatch"),
+        "order_item_count_mismatch",
     )
 
 
-def quality_report(raw: RawTables, fact: DataFrame, params: Params = Params()) -> DataFrame:
-    """All counting checks as (section, check, value)."""
+def quality_report(
+    raw: RawTables,
+    fact: DataFrame,
+    params: Params = Params(),
+    processed: Mapping[str, DataFrame] | None = None,
+    rfm: DataFrame | None = None,
+) -> DataFrame:
+    """All counts as (section, check, value).
+
+    The profile of a table and the rules on its single rows come from one pass. `processed` has the tables of the star schema,
+    whose rows are counted; `rfm` has the scored users. `fact` is the fact table that the scope is reconciled with.
+    """
     keys = foreign_key_checks(raw)
     key_cells = F.array(
         *[
@@ -358,17 +466,38 @@ def quality_report(raw: RawTables, fact: DataFrame, params: Params = Params()) -
         flag_total("is_mismatch").alias("traffic_source_mismatch_count")
     )
     items = clean_order_items(raw.order_items, raw.products, params)
-    return union(
-        [
-            order_date_checks(raw.orders),
-            order_status_checks(raw.orders),
-            user_checks(raw.users, params),
-            product_checks(raw.products),
-            center_checks(raw.dcs),
-            to_checks(mismatch, "events_validation"),
-            session_time_checks(raw.events),
-            keys.select(F.inline(key_cells)),
-            item_checks(items),
-            scope_reconciliation(raw.orders, raw.order_items, fact, params),
-        ]
-    )
+    rules = {
+        "orders": {"date_validation": order_date_rules(), "order_status_validation": order_status_rules()},
+        "users": {"users_validation": user_rules(params)},
+        "products": {"products_validation": product_rules()},
+        "dcs": {"dcs_validation": center_rules()},
+    }
+    repeats = {"users": "users_validation"}
+    sections = []
+    for name, df in raw.items():
+        row = per_key_counts(name, df, rules.get(name, {}), repeats.get(name))
+        profile = F.array(
+            *[
+                F.struct(
+                    F.lit("table_profile").alias("section"),
+                    F.lit(f"{name}.{c}").alias("check"),
+                    F.col(f"profile.{c}").cast("double").alias("value"),
+                )
+                for c in ("rows", "cols", "duplicate_pk", "null_cells")
+            ]
+        )
+        sections.append(row.select(F.inline(F.concat(profile, "cells") if name in rules else profile)))
+    totals = bot_candidates(raw.events, params).agg(F.count("*").alias("bot_candidate_rows"))
+    sections += [
+        to_checks(mismatch, "events_validation"),
+        session_time_checks(raw.events),
+        keys.select(F.inline(key_cells)),
+        item_checks(items),
+        scope_reconciliation(raw.orders, raw.order_items, fact, params),
+        to_checks(totals, "result_row_counts"),
+    ]
+    if rfm is not None:
+        sections.append(to_checks(rfm.agg(F.count("*").alias("rfm_users")), "result_row_counts"))
+    for name, df in (processed or {}).items():
+        sections.append(to_checks(df.agg(F.count("*").alias(name)), "processed_row_counts"))
+    return union(sections)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tradewind.functions.durable import durable
 from tradewind.operators import basket, clean, clusters, customers, forecast, funnel, operations, quality, revenue, series, star
@@ -41,7 +41,8 @@ def run_etl(raw: RawTables, folder: str, params: Params = Params(), formats=("pa
     counts = save_star(build_star(raw, params), processed, formats)
     written = load_star(raw.orders.sparkSession, processed)
     items = clean.clean_order_items(raw.order_items, raw.products, params)
-    report = quality.quality_report(raw, written.fact_transactions, params)
+    scored = written.dim_users.where(F.col("Frequency") > 0)
+    report = durable(quality.quality_report(raw, written.fact_transactions, params, dict(written.items()), scored))
     write_result(report, f"{interim}/quality_summary.json", "json")
     save_results(
         {
@@ -87,8 +88,7 @@ def star_analyses(
         "inventory_abc_aging_by_category_dc": operations.inventory_abc_aging(stock, tables.dim_dcs, categories),
         "return_cancel_root_cause_proxy": operations.root_cause_proxy(fact, products, orders, params),
     }
-    if orders is not None:
-        results["fulfillment_performance"] = operations.fulfillment(orders)
+    results["fulfillment_performance"] = operations.fulfillment(orders) if orders is not None else operations.no_fulfillment(fact)
     return results
 
 

@@ -21,9 +21,9 @@ MISSING_IN_EVENTS = ("",)
 
 
 def read_raw(
-    spark: SparkSession, folder: str, table: str, fmt: str = "csv", columns: Sequence[str] | None = None
+    spark: SparkSession, folder: str, table: str, fmt: str = "csv", columns: Sequence[str] | None = None, absent: str = "error"
 ) -> DataFrame:
-    """One raw table with its fixed types. Columns are matched by name; unreadable values become null.
+    """One raw table with its fixed types.
 
     CSV is read as text and cast here, so no inference pass runs over the data and files stay splittable.
     """
@@ -32,8 +32,19 @@ def read_raw(
         df = spark.read.option("header", True).option("escape", '"').csv(f"{path}.csv")
     else:
         df = spark.read.parquet(f"{path}.parquet")
+    return typed(df, table, columns, absent)
+
+
+def typed(df: DataFrame, table: str, columns: Sequence[str] | None = None, absent: str = "error") -> DataFrame:
+    """A frame with the names of a raw table, cast to its types; texts that cannot be read become null.
+
+    Columns are matched by name. One that is absent is an error, or with `absent="null"` a column of nulls.
+    """
     missing = MISSING_IN_EVENTS if table == "events" else MISSING
     wanted = list(columns or RAW_SCHEMAS[table])
+    lacking = [c for c in wanted if c not in df.columns]
+    if lacking and absent != "null":
+        raise ValueError(f"{table} lacks the columns {', '.join(lacking)}")
     return df.select(*[_typed(df, name, RAW_SCHEMAS[table][name], missing).alias(name) for name in wanted])
 
 
@@ -84,7 +95,11 @@ def load_raw_orders(spark: SparkSession, folder: str | None, fmt: str = "csv") -
 def load_star(spark: SparkSession, folder: str) -> StarSchema:
     """The star schema as written by `save_star`, purchase columns of users filled."""
     tables = {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet") for name in StarSchema.__annotations__}
-    filled = {"rfm_segment": NO_PURCHASE_SEGMENT, "Frequency": 0, "Monetary": 0.0, "return_rate_pct": 0.0}
-    users = tables["dim_users"]
-    tables["dim_users"] = users.fillna({k: v for k, v in filled.items() if k in users.columns})
+    tables["dim_users"] = fill_users(tables["dim_users"])
     return StarSchema(**tables)
+
+
+def fill_users(users: DataFrame) -> DataFrame:
+    """Users with the purchase columns filled where they never bought."""
+    filled = {"rfm_segment": NO_PURCHASE_SEGMENT, "Frequency": 0, "Monetary": 0.0, "return_rate_pct": 0.0}
+    return users.fillna({k: v for k, v in filled.items() if k in users.columns})

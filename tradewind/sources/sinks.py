@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from tradewind.sources.schemas import StarSchema
 
 FACTS = ("fact_transactions", "fact_inventory")
 
 
-def write_result(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
-    writer = df.write.mode("overwrite")
+def write_result(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> int:
+    """Writes `df` and returns its number of rows.
+
+    Rows are counted as they are written, in the stage that writes them: Spark takes the count of a task's partition once,
+    from the attempt that is committed, so a failed attempt does not count.
+    """
+    written = Observation()
+    writer = df.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt in ("csv", "json"):
@@ -21,13 +27,14 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet", partition_by: S
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.format(fmt).save(path)
+    return written.get["rows"]
 
 
 def save_star(star: StarSchema, folder: str, formats: Sequence[str] = ("parquet", "csv")) -> dict[str, int]:
     """Writes the seven tables and returns their row counts.
 
-    Counts and further formats are taken from the Parquet copy: no table is computed twice, and the counts hold
-    also after a stage was retried. The transaction fact is partitioned by year; the rebalance hint evens out
+    Rows are counted while the Parquet copy is written, and further formats are taken from that copy: no table is computed
+    twice or read back to be counted. The transaction fact is partitioned by year; the rebalance hint evens out
     file sizes, splitting a year that holds most rows.
     """
     counts: dict[str, int] = {}
@@ -36,16 +43,14 @@ def save_star(star: StarSchema, folder: str, formats: Sequence[str] = ("parquet"
         parquet = f"{folder.rstrip('/')}/{name}.parquet"
         if name == "fact_transactions":
             dated = df.withColumn("year", F.floor(F.col("date_key") / 10000).cast("int"))
-            write_result(dated.hint("rebalance", "year"), parquet, "parquet", ["year"])
+            counts[name] = write_result(dated.hint("rebalance", "year"), parquet, "parquet", ["year"])
         elif name in FACTS:
-            write_result(df.hint("rebalance"), parquet)
+            counts[name] = write_result(df.hint("rebalance"), parquet)
         else:
-            write_result(df, parquet)
-        written = spark.read.parquet(parquet)
-        counts[name] = written.count()
+            counts[name] = write_result(df, parquet)
         for fmt in formats:
             if fmt != "parquet":
-                write_result(written, f"{folder.rstrip('/')}/{name}.{fmt}", fmt)
+                write_result(spark.read.parquet(parquet), f"{folder.rstrip('/')}/{name}.{fmt}", fmt)
     return counts
 
 
