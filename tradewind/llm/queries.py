@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tradewind.llm import exact, language, licenses, mixing, neardup, packing, periodic, private, rules, sites, substrings, toxicity
+from tradewind.llm import exact, language, licenses, mixing, neardup, packing, periodic, private, rules, sites, substrings, toxicity, tries
+from tradewind.llm.shared import join_groups, stored
 
 TOKENIZER = {
     "json_path": public_tokenizers.path("byte_bpe_50k.json"),
@@ -94,6 +95,27 @@ def page_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("doc_id", "page_id")
 
 
+def rebuilt_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Numbered turns and the ids of the rebuilt conversations: the first turns of the family's first conversation, then the own
+    turns after as many of the own."""
+    turns = stored(tries.number_turns(conversations), "numbered")
+    own = stored(turns.groupBy("conv").agg(F.max("at").alias("len")), "lengths")
+    head = F.crc32(F.col("conv").cast("string").cast("binary")) % 4
+    family = own.select("conv", "len", head.alias("head"), (F.col("conv") - F.col("conv") % 20).alias("first"))
+    first = family.join(own.select(F.col("conv").alias("first"), F.col("len").alias("first_len")), "first", "left")
+    have = F.least("head", F.coalesce("first_len", F.lit(0))).alias("have")
+    family = stored(first.select("conv", "len", "first", "head", have), "families")
+    opening = turns.where("at <= 3").withColumnRenamed("conv", "first").join(family, "first").where("at <= have")
+    rest = join_groups(turns, family, ["conv"], "len", turns.count()).where("at > head")
+    rest = rest.withColumn("at", F.col("at") - F.col("head") + F.col("have"))
+    columns = ["conv", "at", "c1", "c2", "words"]
+    return stored(opening.select(columns).unionByName(rest.select(columns)), "rebuilt"), own.select("conv")
+
+
+def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return tries.prefix_nodes(*rebuilt_turns(table(spark, folder, "conversations")))
+
+
 def repeated_windows(spark: SparkSession, folder: str) -> DataFrame:
     kept = substrings.remove_repeats(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -146,6 +168,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_duplicates": exact_duplicates,
         "op9_language_id": document_language,
         "op10_quality_rules": rule_verdicts,
+        "op11_prefix_trie": conversation_trie,
         "op12_repeated_windows": repeated_windows,
         "op13_periodic_runs": periodic_runs,
         "page_language_id": page_language,
