@@ -6,6 +6,7 @@ the ones it needs and they are put in front of it as common table expressions.
 
 from __future__ import annotations
 
+from tradewind.params import NO_PURCHASE_SEGMENT
 from tradewind.sources.adapter import ADAPTER_PARAMS as P
 
 
@@ -823,8 +824,8 @@ _SQL: dict[str, tuple[str, str]] = {
     ),
     "filled_users": (
         "raw_users rfm",
-        """select u.id as user_id, coalesce(Frequency, 0) as Frequency, coalesce(Monetary, 0.0) as Monetary,
-            coalesce(return_rate_pct, 0.0) as return_rate_pct, coalesce(rfm_segment, 'No Valid Purchase') as rfm_segment
+        f"""select u.id as user_id, coalesce(Frequency, 0) as Frequency, coalesce(Monetary, 0.0) as Monetary,
+            coalesce(return_rate_pct, 0.0) as return_rate_pct, coalesce(rfm_segment, '{NO_PURCHASE_SEGMENT}') as rfm_segment
         from raw_users u left join rfm r on r.user_id = u.id""",
     ),
     "rfm": ("rfm", "select * from rfm"),

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tradewind.llm.shared import join_groups, stored, without_ids
+from tradewind.llm.shared import join_groups, settled, stored, without_ids
 from tradewind.llm.words import GOLDEN, mix
 
 DIGESTS = "doc_id long, digest long, text_sha256 string, n_bytes long, incoming boolean"
@@ -104,10 +104,13 @@ def _screen(incoming: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def build_filters(snapshot: DataFrame, bucket_keys: int = 8192) -> tuple[DataFrame, int]:
-    """One filter per bucket of the snapshot's distinct `digest`s, and the number of buckets, which follows their count."""
+def build_filters(snapshot: DataFrame, bucket_keys: int = 8192, arriving: int = 0) -> tuple[DataFrame, int]:
+    """One filter per bucket of the snapshot's distinct `digest`s, and the number of buckets.
+
+    It follows their count or that of the `arriving` digests, whichever is larger, so that neither fills a bucket too full.
+    """
     digests = stored(snapshot.select("digest").distinct(), "snapshot_digests")
-    buckets = max(1, -(-digests.count() // bucket_keys))
+    buckets = max(1, -(-max(digests.count(), arriving) // bucket_keys))
     keyed = digests.withColumn("bucket", F.pmod("digest", F.lit(buckets)))
     built = keyed.groupBy("bucket").applyInPandas(_build, "bucket long, seed long, segment long, segments long, cells binary")
     return stored(built, "fuse_filters"), buckets
@@ -122,7 +125,8 @@ def exact_duplicates(
     copies of each other. The row with the largest id stays; rows that share that id stay together. A group without
     any id keeps all its rows. Columns other than the two named are not read; an empty table gives no rows.
 
-    The snapshot's distinct digests are hashed into buckets of about `bucket_keys`, each with a static filter. Incoming
+    The snapshot's distinct digests are hashed into buckets, each with a static filter; a bucket holds about `bucket_keys`
+    digests of the snapshot and of the batch, whichever has more. Incoming
     digests (one row per text and side, so copies are counted before anything is shuffled) that a filter rejects are
     new and form groups of the batch alone. The others join the exact bucket of their digest, where the bytes decide:
     the 256-bit hash and the length of the whole normalised text. A false positive falls back to the batch's groups.
@@ -137,7 +141,7 @@ def exact_duplicates(
     groups = stored(rows.groupBy("incoming", *key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")), "groups")
     total = rows.count()
     old, new = groups.where(~F.col("incoming")).drop("incoming"), groups.where("incoming").drop("incoming")
-    filters, buckets = build_filters(old, bucket_keys)
+    filters, buckets = build_filters(old, bucket_keys, new.count())
     arriving = new.select("digest").distinct().withColumn("bucket", F.pmod("digest", F.lit(buckets)))
     screened = stored(
         arriving.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(_screen, "digest long, positive boolean"),
@@ -173,7 +177,10 @@ def half_of(id_col: str = "doc_id") -> Column:
 
 def drop_exact_duplicates(docs: DataFrame, incoming: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    decided = exact_duplicates(docs, incoming, id_col, text_col)
-    fate = decided.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.max("kept").alias("kept"))
-    gone = stored(fate.where("not kept").select(id_col), "dropped")
-    return without_ids(docs, gone, id_col)
+
+    def dropped() -> DataFrame:
+        decided = exact_duplicates(docs, incoming, id_col, text_col)
+        fate = decided.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.max("kept").alias("kept"))
+        return fate.where("not kept").select(id_col)
+
+    return without_ids(docs, settled(docs.sparkSession, dropped, "dropped"), id_col)

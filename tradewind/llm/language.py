@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tradewind.llm.shared import stored, without_ids
+from tradewind.llm.shared import settled, stored, without_ids
 from tradewind.llm.words import LOWER, text_chunks
 
 _B = np.arange(256)
@@ -84,8 +84,9 @@ def fit_language_model(
     return LanguageModel(languages, logp.astype(np.float32))
 
 
-def _likelihoods(model: LanguageModel, evidence: float):
-    """Per row its number of trigrams and the posterior of the text alone, for even priors."""
+def _likelihoods(model: LanguageModel, evidence: float, unknown: float):
+    """Per row its number of trigrams, the chance that it is in any language of the model, and the posterior of the text
+    alone among these, for even priors."""
     buckets, width = model.logp.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,15 +96,20 @@ def _likelihoods(model: LanguageModel, evidence: float):
                 bucket, row = trigrams(data, offsets, buckets)
                 grams = np.bincount(row, minlength=n)
                 sums = np.stack([np.bincount(row, model.logp[bucket, i], n) for i in range(width)], 1).astype(float)
-                sums *= np.minimum(1.0, evidence / np.maximum(grams, 1))[:, None]
-                sums -= sums.max(1, keepdims=True)
+                weigh = np.minimum(1.0, evidence / np.maximum(grams, 1))
+                sums *= weigh[:, None]
+                top = sums.max(1, keepdims=True)
+                sums -= top
                 parts = np.exp(sums)
+                # any bucket is as likely as any other in a text of no known language
+                other = top[:, 0] + np.log(parts.mean(1)) + grams * weigh * np.log(buckets)
+                known = 1.0 / (1.0 + unknown / (1.0 - unknown) * np.exp(-np.clip(other, -500.0, 500.0)))
                 parts /= parts.sum(1, keepdims=True)
                 rest = [batch.column(i).slice(at, n) for i in range(batch.num_columns) if batch.schema.names[i] != "text__"]
                 names = [c for c in batch.schema.names if c != "text__"]
                 yield pa.RecordBatch.from_arrays(
-                    [*rest, pa.array(grams, pa.int64()), *[pa.array(parts[:, i]) for i in range(width)]],
-                    names=[*names, "n_grams", *[f"q{i}" for i in range(width)]],
+                    [*rest, pa.array(grams, pa.int64()), pa.array(known), *[pa.array(parts[:, i]) for i in range(width)]],
+                    names=[*names, "n_grams", "known__", *[f"q{i}" for i in range(width)]],
                 )
 
     return run
@@ -121,6 +127,7 @@ def identify_language(
     declared_strength: float = 5.0,
     prior_strength: float = 20.0,
     least: float = 0.5,
+    unknown: float = 0.001,
 ) -> DataFrame:
     """Language of each row, with its probability, from four kinds of evidence.
 
@@ -131,6 +138,9 @@ def identify_language(
     parent: the whole table for declared language and suffix, the next coarser level for a host. All these are grouped
     sums over all rows. The log ratios to the parents are added to the log-likelihoods and the table's own prior.
 
+    Beside the model's languages stands an unknown one, in which all buckets are as likely, with the prior `unknown`. Its
+    chance, from the text alone, is taken off the probability; where it is a half or more, the language is null.
+
     Returns id, language, probability, text_language, n_grams, kept. A row is kept if its probability is `least` or
     more. Null, empty and letterless texts have no text evidence: language null, probability 0, not kept. A model
     without languages rejects nothing else. Repeated rows are judged each by itself; an empty table gives no rows;
@@ -145,7 +155,7 @@ def identify_language(
         return named.select("doc_id", none.alias("language"), F.lit(0.0).alias("probability"), none.alias("text_language"), F.lit(0).cast("long").alias("n_grams"), F.lit(True).alias("kept"))
     kept_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema if f.name != "text__")
     q = [f"q{i}" for i in range(width)]
-    scored = named.mapInArrow(_likelihoods(model, evidence), f"{kept_types}, n_grams long, " + ", ".join(f"{c} double" for c in q))
+    scored = named.mapInArrow(_likelihoods(model, evidence, unknown), f"{kept_types}, n_grams long, known__ double, " + ", ".join(f"{c} double" for c in q))
     scored = stored(scored, "text_scores")
     told = scored.where("n_grams > 0")
 
@@ -179,8 +189,8 @@ def identify_language(
     pick = lambda columns, best: F.coalesce(*[F.when(F.col(c) == best, F.lit(name)) for c, name in zip(columns, model.languages)])
     judged = out.withColumn("top", top).select(
         "doc_id",
-        pick([f"l{i}" for i in range(width)], F.col("top")).alias("language"),
-        (F.lit(1.0) / norm).alias("probability"),
+        F.when(F.col("known__") > 0.5, pick([f"l{i}" for i in range(width)], F.col("top"))).alias("language"),
+        (F.col("known__") / norm).alias("probability"),
         pick(q, F.greatest(*q, F.lit(-1.0))).alias("text_language"),
         "n_grams",
     )
@@ -190,6 +200,10 @@ def identify_language(
 
 def drop_unidentified(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents whose language is settled, with all their columns; rows without an id stay."""
-    decided = identify_language(docs, model, id_col, **options)
-    fate = decided.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.max("kept").alias("kept"))
-    return without_ids(docs, stored(fate.where("not kept").select(id_col), "rejected"), id_col)
+
+    def rejected() -> DataFrame:
+        decided = identify_language(docs, model, id_col, **options)
+        fate = decided.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.max("kept").alias("kept"))
+        return fate.where("not kept").select(id_col)
+
+    return without_ids(docs, settled(docs.sparkSession, rejected, "rejected"), id_col)

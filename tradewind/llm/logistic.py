@@ -13,7 +13,7 @@ def fit_sparse(columns: np.ndarray, starts: np.ndarray, y: np.ndarray, width: in
     """Weights and intercept for rows of 0/1 features.
 
     `columns` holds the features of all rows, `starts` where each row begins. Minimises the mean log loss plus
-    l2/2 |w|^2 plus, for each (a, b, strength) of `ties`, strength/2 (w[a] - w[b])^2.
+    l2/2 |w|^2 plus, for each (a, b, strength) of `ties`, strength/2 (w[a] - w[b])^2; b = -1 stands for a weight of zero.
     """
     n = len(y)
     row = np.repeat(np.arange(n), np.diff(starts, append=len(columns)))
@@ -22,15 +22,16 @@ def fit_sparse(columns: np.ndarray, starts: np.ndarray, y: np.ndarray, width: in
     size = len(columns) / max(1, n)
     bound = 0.25 * np.bincount(columns, minlength=width) / max(1, n) * max(1.0, size) + l2
     for i, j, strength in ties:
-        bound[[i, j]] += 2 * strength
+        bound[[i, j] if j >= 0 else [i]] += 2 * strength
     v, c, t = w.copy(), b, 1.0
     for _ in range(rounds):
         error = (sigmoid(np.bincount(row, v[columns], n) + c) - y) / max(1, n)
         slope = np.bincount(columns, error[row], width) + l2 * v
         for i, j, strength in ties:
-            pull = strength * (v[i] - v[j])
+            pull = strength * (v[i] - (v[j] if j >= 0 else 0.0))
             slope[i] += pull
-            slope[j] -= pull
+            if j >= 0:
+                slope[j] -= pull
         new, new_b = v - slope / bound, c - error.sum() / (0.25 * max(1.0, size))
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, c = new + (t - 1) / t_new * (new - w), new_b + (t - 1) / t_new * (new_b - b)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tradewind.llm.shared import stored
+from tradewind.functions.ranking import order_statistics
+from tradewind.llm.shared import settled, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,29 +18,99 @@ def seeded(*parts) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """Adds `nr`, the place of each row in `order` from 1 on. Rows are sorted in ranges; only the sizes of ranges meet."""
+    laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    laid = stored(laid, "ordered").withColumns({"_range": F.shiftright("_id", 33), "_place": F.expr("_id & 8589934591")})
+    sizes = laid.groupBy("_range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_range", before.alias("_before"))  # a row per range
+    return laid.join(F.broadcast(sizes), "_range").withColumn("nr", F.col("_before") + F.col("_place") + 1).drop("_id", "_range", "_place", "_before")
+
+
+def water_level(sources: DataFrame, goal: float, steps: int = 32) -> float:
+    """The level at which least(limit, weight * level) adds up to `goal`; infinite if even the limits do not.
+
+    A source is full at limit / weight. The level lies between two such points, which are narrowed by `steps` points at a
+    time: two aggregations over the sources for each narrowing, and `steps` numbers on the driver.
+    """
+    low, high = 0.0, float("inf")
+    while True:
+        inside = sources.where((F.col("full_at") > low) & (F.col("full_at") < high))
+        points = inside.agg(F.percentile_approx("full_at", [(i + 1) / steps for i in range(steps)], 10_000)).first()[0]
+        if not points:
+            full = F.col("full_at") <= low
+            row = sources.agg(F.sum(F.when(full, F.col("limit"))), F.sum(F.when(~full, F.col("weight")))).first()
+            return (goal - (row[0] or 0)) / row[1] if row[1] else float("inf")
+        points = sorted(set(points))
+        held = sources.agg(*[F.sum(F.least(F.col("limit").cast("double"), F.col("weight") * p)) for p in points]).first()
+        low = max([p for p, h in zip(points, held) if h < goal], default=low)
+        high = min([p for p, h in zip(points, held) if h >= goal], default=high)
+
+
 def source_targets(sources: DataFrame, weights: tuple[int, ...], part: int, whole: int, cap: int) -> DataFrame:
-    """Adds `weight`, `target` to one row per source (`source`, `source_size`).
+    """Adds `weight`, `limit`, `target` to one row per source (`source`, `source_size`).
 
     Weights repeat over the sources in code-point order, null last. Targets share `part`/`whole` of all sizes by weight;
     none exceeds `cap` times its size, and what that cuts off is shared by weight among the others until nothing is
-    above: target = least(cap * size, weight * level), with the one level at which the targets add up.
+    above: target = least(limit, weight * level), with the one level at which the targets add up.
     """
-    order, fill = W.orderBy(F.col("source").asc_nulls_last()), W.orderBy("full_at", "nr")
-    before, onward = fill.rowsBetween(W.unboundedPreceding, -1), fill.rowsBetween(0, W.unboundedFollowing)
-    listed = (
-        sources.withColumn("nr", F.row_number().over(order))
-        .withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.expr(f"(nr - 1) % {len(weights)} + 1")))
-        .withColumn("limit", (F.col("source_size") * cap).cast("double"))
-        .withColumn("full_at", F.col("limit") / F.col("weight"))
-    )
-    goal = F.sum("source_size").over(W.partitionBy()) * (part / whole)
-    levels = (
-        listed.withColumn("goal", goal)
-        .withColumn("level", (F.col("goal") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
-        .withColumn("fits", F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "nr", "level")))
-    )
-    level = F.min("fits").over(W.partitionBy())["level"]
-    return levels.withColumn("target", F.least("limit", F.col("weight") * level)).drop("nr", "full_at", "goal", "level", "fits")
+    ordered = numbered(sources, F.col("source").isNull(), F.col("source"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.expr(f"cast((nr - 1) % {len(weights)} + 1 as int)"))
+    listed = ordered.withColumns({"weight": weight, "limit": F.col("source_size") * cap}).drop("nr")
+    listed = stored(listed.withColumn("full_at", F.col("limit") / F.col("weight")), "weighted")
+    size = listed.agg(F.sum("source_size")).first()[0] or 0
+    level = water_level(listed, size * (part / whole))
+    return listed.withColumn("target", F.least(F.col("limit").cast("double"), F.col("weight") * F.lit(level))).drop("full_at")
+
+
+def highest(rows: DataFrame, order: Column, amount: str, wanted: int) -> DataFrame:
+    """Adds `got`: the first rows by `order` get their whole `amount`, one the rest of `wanted`, the others nothing.
+
+    The row at which the amounts reach `wanted` is selected by narrowing ranges, so nothing is sorted as a whole.
+    """
+    keyed = stored(rows.withColumns({"_key": order, "_all": F.lit("all")}), "ranked")
+    if wanted <= 0:
+        return keyed.withColumn("got", F.lit(0).cast("long")).drop("_key", "_all")
+    values = keyed.where(F.col(amount) > 0)
+    last = order_statistics(values, {"last": F.least(F.lit(wanted), F.col("n"))}, "_all", "_key", amount)
+    keyed = keyed.withColumn("_last", stored(last, "last").select("_key").scalar())  # null if there is no amount
+    first = F.col("_key") < F.col("_last")
+    given = F.coalesce(keyed.agg(F.sum(F.when(first, F.col(amount)))).scalar(), F.lit(0))
+    got = F.when(first, F.col(amount)).when(F.col("_key") == F.col("_last"), F.least(F.col(amount), F.lit(wanted) - given)).otherwise(0)
+    return keyed.withColumn("got", got.cast("long")).drop("_key", "_all", "_last")
+
+
+def source_words(sources: DataFrame, block: int) -> DataFrame:
+    """Adds `words`: what each source gives to the mix, in all the rounded sum of the targets.
+
+    A source whose target is its limit gives exactly that. The others get blocks by highest quotients target / 1, 3, 5, ...; the
+    last block of a source may be cut by its limit. Words left over by that go to those that are furthest below their
+    target, as far as they have room.
+    """
+    full = F.col("target") >= F.col("limit")
+    sums = sources.agg(
+        F.sum("target"), F.sum(F.when(full, F.col("limit"))), F.sum(F.when(~full, F.col("target"))), F.count_if(~full)
+    ).first()
+    rest_words = math.floor((sums[0] or 0.0) + 0.5) - (sums[1] or 0)
+    seats, votes, half = rest_words // block, sums[2] or 0.0, (sums[3] or 0) / 2
+    # a divisor a little too large gives each source a first share that it holds in any case
+    share = F.col("target") / votes if votes else F.lit(0.0)
+    base = F.floor(F.lit(max(seats - half, 0.0)) * share + 0.5).cast("long")
+    rest = sources.where(~full).withColumn("base", base)
+    rest = rest.withColumn("upper", F.greatest(F.floor(F.lit(seats + half) * share + 0.5).cast("long") + 1, F.col("base") + 1))
+    left = seats - (rest.agg(F.sum("base")).first()[0] or 0)
+    quotients = rest.where("target > 0").select("key", "target", F.explode(F.expr("sequence(base + 1, upper)")).alias("nth"))
+    order = F.struct((-F.col("target") / (F.col("nth") * 2 - 1)).alias("quotient"), F.col("key"), F.col("nth"))
+    won = highest(quotients.withColumn("one", F.lit(1).cast("long")), order, "one", left)
+    won = won.groupBy("key").agg(F.sum("got").alias("more"))
+    blocks = (F.col("base") + F.coalesce("more", F.lit(0))) * block
+    rest = stored(rest.join(won, "key", "left").withColumn("words", F.least(blocks, F.col("limit"))).drop("base", "upper", "more"), "blocks")
+    left = rest_words - (rest.agg(F.sum("words")).first()[0] or 0)
+    below = F.struct((F.col("words") - F.col("target")).alias("below"), F.col("key"))
+    topped = highest(rest.withColumn("room", F.col("limit") - F.col("words")), below, "room", left)
+    topped = topped.withColumn("words", F.col("words") + F.col("got")).drop("room", "got")
+    return sources.where(full).withColumn("words", F.col("limit")).unionByName(topped)
 
 
 def sainte_lague(parties: DataFrame, group: list[str], party: list[str], votes: str, seats: str) -> DataFrame:
@@ -65,6 +138,23 @@ def sainte_lague(parties: DataFrame, group: list[str], party: list[str], votes:
     )
 
 
+def shard_words_of(shards: DataFrame, block: int, cap: int) -> DataFrame:
+    """Adds `length`: the words that each shard (`key`, `shard`, `shard_size`) gives of its source's `words`, exactly those in all.
+
+    Blocks go to the shards by highest quotients; one cut by its limit, `cap` times its size, and the words beyond the last
+    whole block go on to the shards furthest below their share.
+    """
+    own = W.partitionBy("key")
+    limit = F.col("shard_size") * cap
+    seated = sainte_lague(shards.withColumn("seats", F.expr(f"words div {block}")), ["key"], ["shard"], "shard_size", "seats")
+    part = seated.withColumns({"limit": limit, "part": F.least(F.col("quota") * block, limit)})
+    part = part.withColumn("left", F.col("words") - F.sum("part").over(own)).withColumn("room", F.col("limit") - F.col("part"))
+    fair = F.col("words") * F.try_divide(F.col("shard_size"), F.sum("shard_size").over(own))
+    order = own.orderBy(F.col("part") - fair, "shard").rowsBetween(W.unboundedPreceding, -1)
+    more = F.greatest(F.lit(0), F.least("room", F.col("left") - F.coalesce(F.sum("room").over(order), F.lit(0))))
+    return part.withColumn("length", F.col("part") + more).drop("seats", "quota", "limit", "part", "left", "room")
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -83,11 +173,13 @@ def mix_sources(
 
     A document's size is its number of words `[^\\x20\\x09-\\x0D]+`, none for a null or empty text. The targets of
     `source_targets` are counted in blocks of `block_words`; the blocks go to the sources, and those of a source to its
-    shards, by highest quotients. A source is dealt by a hash of the id into shards of about `shard_words` words or
+    shards, by highest quotients. A source or shard at its limit gives exactly that, its last block cut, and what the cut
+    leaves goes to others. A source is dealt by a hash of the id into shards of about `shard_words` words or
     `shard_rows` rows, so a source with a third of all rows is many shards. In a shard the documents lie on a ring in an
     order given by the seed; the shard's blocks are taken one after the other from a block chosen by the seed, round the
-    ring as often as the quota asks, at most `cap` times. So `taken` is at most `cap` times the size, the words of a
-    source differ from its target by less than a block for it and each shard, and every run gives the same.
+    ring as often as the quota asks, at most `cap` times. So `taken` is at most `cap` times the size, the words of all
+    sources add up to the rounded sum of their targets, those of each differ from its target by a block or two, and every
+    run gives the same. Nothing is ranked over all sources or documents in one task.
 
     A null source is a source of its own. Repeated rows count each by itself. A table without words takes nothing; an
     empty table gives no rows. Other columns are not read.
@@ -101,14 +193,12 @@ def mix_sources(
     sources = sizes.groupBy("key").agg(
         F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n_rows")
     )
-    targets = source_targets(sources, weights, part, whole, cap)
-    seats = F.floor(F.sum("target").over(W.partitionBy()) / block_words + 0.5).cast("long")
-    targets = targets.withColumns({"all": F.lit(0), "seats": seats})
-    targets = sainte_lague(targets, ["all"], ["key"], "target", "seats").select(
+    targets = source_words(stored(source_targets(stored(sources, "sources"), weights, part, whole, cap), "source_targets"), block_words)
+    targets = targets.select(
         "key",
         "source_size",
         "target",
-        F.least("quota", F.expr(f"source_size * {cap} div {block_words}")).alias("source_quota"),
+        "words",
         F.greatest(
             F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("n_rows") / shard_rows), F.lit(1)
         ).cast("long").alias("shards"),
@@ -117,15 +207,14 @@ def mix_sources(
     dealt = sizes.join(targets.select("key", "shards"), "key").withColumns(
         {"shard": F.pmod(seeded(seed, F.col("doc_id")), F.col("shards")), "place": seeded(seed + 1, F.col("doc_id"))}
     )
-    shards = dealt.groupBy("key", "shard").agg(F.sum("size").alias("shard_size")).join(targets.select("key", "source_quota"), "key")
-    shards = sainte_lague(shards, ["key"], ["shard"], "shard_size", "source_quota")
+    shards = dealt.groupBy("key", "shard").agg(F.sum("size").alias("shard_size")).join(targets.select("key", "words"), "key")
     blocks = F.greatest(F.ceil(F.col("shard_size") / block_words), F.lit(1)).cast("long")
-    shards = shards.select(
+    shards = shard_words_of(shards, block_words, cap).select(
         "key",
         "shard",
         "shard_size",
         (F.pmod(seeded(seed + 2, F.col("key"), F.col("shard")), blocks) * block_words).alias("begin"),
-        (F.least("quota", F.expr(f"shard_size * {cap} div {block_words}")) * block_words).alias("length"),
+        "length",
     )
     shards = stored(shards, "shards")
     ring = W.partitionBy("key", "shard").orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -144,10 +233,13 @@ def mix_sources(
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus with the columns of `docs`: a document stands in it as often as the mix takes its words, in whole
     documents, rounded half up, so one cut by the end of the chosen blocks is in or out as a whole."""
-    taken = mix_sources(docs, id_col, text_col, source_col, **options)
-    copies = taken.where("size > 0").groupBy(F.col("doc_id").alias(id_col)).agg(
-        F.max(F.expr("cast(floor(taken / size + 0.5) as int)")).alias("copies__")
-    )
-    copies = stored(copies.where("copies__ > 0"), "copies")
-    mixed = docs.join(copies.withColumnRenamed(id_col, "id__"), docs[id_col].eqNullSafe(F.col("id__")))
-    return mixed.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies__")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+    def copies() -> DataFrame:
+        taken = mix_sources(docs, id_col, text_col, source_col, **options)
+        times = F.max(F.expr("cast(floor(taken / size + 0.5) as int)"))
+        return taken.where("size > 0").groupBy(F.col("doc_id").alias("id")).agg(times.alias("n")).where("n > 0")
+
+    # the columns of `docs` stand in a struct, so none of their names can clash
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    mixed = whole.join(settled(docs.sparkSession, copies, "copies"), F.col(f"doc.`{id_col}`").eqNullSafe(F.col("id")))
+    return mixed.select("doc", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("doc.*")

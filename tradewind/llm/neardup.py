@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tradewind.llm.shared import connected_components, join_groups, stored, with_ids, without_ids
+from tradewind.llm.shared import connected_components, join_groups, settled, stored, with_ids, without_ids
 from tradewind.llm.words import GOLDEN, mix, shingle_sets, text_chunks
 
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -230,7 +230,10 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, with all its columns."""
-    decided = near_duplicates(docs, id_col, text_col)
-    fate = decided.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.max("kept").alias("kept"))
-    gone = stored(fate.where("not kept").select(id_col), "dropped")
-    return without_ids(docs, gone, id_col)
+
+    def dropped() -> DataFrame:
+        decided = near_duplicates(docs, id_col, text_col)
+        fate = decided.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.max("kept").alias("kept"))
+        return fate.where("not kept").select(id_col)
+
+    return without_ids(docs, settled(docs.sparkSession, dropped, "dropped"), id_col)

@@ -80,10 +80,16 @@ def document_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_language(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages declare a language in their markup and have an address: suffix, site and host."""
+    """Pages declare a language in their markup and have an address: suffix, site and host.
+
+    An address that is null or cannot be read says nothing; a null page is an empty text.
+    """
     model = document_language_model(spark, folder)
-    host = F.lower(F.parse_url("url", F.lit("HOST")))
-    text = F.regexp_replace(F.col("html"), r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
+    host = F.lower(F.try_parse_url("url", F.lit("HOST")))
+    # what is not closed is hidden to the end, as a browser does, so no open tag is tried twice
+    html = F.coalesce(F.col("html"), F.lit(""))
+    hidden = r"(?is)<script\b(?:[^<]++|<(?!/script))*+(?:</script[^>]*+>|\z)|<style\b(?:[^<]++|<(?!/style))*+(?:</style[^>]*+>|\z)|<!--(?:[^-]++|-(?!->))*+(?:-->|\z)"
+    text = F.regexp_replace(F.regexp_replace(html, hidden, " "), r"<[^<>]*+>", " ")
     found = language.identify_language(
         table(spark, folder, "pages").withColumn("text", text),
         model,

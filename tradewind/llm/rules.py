@@ -37,9 +37,10 @@ def covered(windows: Column) -> Column:
 
 
 def grams(words: Column, buckets: int) -> Column:
-    """Buckets of all single words and pairs of neighbours."""
-    single = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    pairs = F.transform(neighbours(words), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+    """Buckets of all single words and pairs of neighbours, in two bytes each where that is enough."""
+    kind = "smallint" if buckets <= 1 << 15 else "int"
+    single = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast(kind))
+    pairs = F.transform(neighbours(words), lambda h: F.pmod(h, F.lit(buckets)).cast(kind))
     return F.concat(single, pairs)
 
 
@@ -54,7 +55,7 @@ def with_trust(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
 def ratio_weights(spread: DataFrame, buckets: int, alpha: float) -> DataFrame:
     """One row `weights`: per bucket log P(trusted) - log P(raw), from all n-grams of all rows; a table of fixed size."""
     listed = spread.select("trusted", F.explode("grams").alias("bucket"))
-    both = stored(listed.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("good")), "gram_counts")
+    both = stored(listed.groupBy(F.col("bucket").cast("int").alias("bucket")).agg(F.count("*").alias("raw"), F.count_if("trusted").alias("good")), "gram_counts")
     filled = F.broadcast(both)  # one row a bucket at most
     every = spread.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(filled, "bucket", "left")
     raw, good = (F.coalesce(c, F.lit(0)) for c in ("raw", "good"))
@@ -82,16 +83,15 @@ def quality_rules(
     smoothed by `alpha`. A text's score is the mean log ratio of its n-grams, 0 without any. Kept: neither rule fails
     (fewer than 50 words; more than half of the words in repeated windows) and the score is `least` or more.
 
+    A text is read and split once: its counts and the buckets of its n-grams are stored, and both the multinomials and the
+    scores come from that table. Only ids and buckets meet the trusted ids, never texts.
+
     Null texts are empty: no words, not kept. Without a trusted text every score is 0. Repeated rows are judged each by
     itself; other columns are not read; an empty table gives no rows.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words")
-    split = named.select("doc_id", "text", words)
+    split = named.select("doc_id", "text", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
     trusted = trusted_ids.toDF("doc_id").select(F.col("doc_id").cast(named.schema["doc_id"].dataType)).where("doc_id is not null").distinct()
-    spread = with_trust(named, stored(trusted, "trusted_ids")).select("trusted", words).select("trusted", grams(F.col("words"), buckets).alias("grams"))
-    weights = ratio_weights(spread, buckets, alpha).scalar()
-
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     counted = split.select(
         "doc_id",
@@ -110,6 +110,9 @@ def quality_rules(
         F.when(F.size(F.array_distinct("windows")) == F.size("windows"), 0).otherwise(covered(F.col("windows"))).cast("long").alias("n_repeat_words"),
         grams(F.col("words"), buckets).alias("grams"),
     )
+    counted = stored(counted, "counts")
+    spread = with_trust(counted.select("doc_id", "grams"), stored(trusted, "trusted_ids"))
+    weights = ratio_weights(spread, buckets, alpha).scalar()
     total = F.aggregate("grams", F.lit(0.0), lambda a, g: a + F.get("weights", g))
     mean = F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0)
     scored = counted.withColumn("weights", weights).withColumn("score", mean).drop("grams", "weights")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -22,12 +24,54 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` once as Parquet in the shared folder and reads it from there: it outlives the executors that made it."""
+#: Folders of the tables made inside each open `working_tables`, innermost last.
+_open: list[list[str]] = []
+
+
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}"), folder
+
+
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    jvm = spark._jvm
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes `df` once as Parquet in the shared folder and reads it from there: it outlives the executors that made it.
+
+    Inside `working_tables` it goes with them, otherwise it stays.
+    """
+    out, folder = _write(df, name)
+    if _open:
+        _open[-1].append(folder)
+    return out
+
+
+@contextmanager
+def working_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that were stored inside when it ends. Results that read them must have been written by then."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+        remove(spark, made)
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Stores what `build` gives and removes the tables that were stored on the way to it."""
+    with working_tables(spark):
+        out, folder = _write(build(), name)
+    if _open:
+        _open[-1].append(folder)
+    return out
 
 
 def id_bitmap(ids: DataFrame, column: str) -> DataFrame:
@@ -94,17 +138,22 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     tells; every round is two aggregations and two joins on the edges, and the number of rounds grows with the logarithm
     of the longest path.
     """
+    spark = edges.sparkSession
     edge = [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
-    current = stored(edges.where(F.col(a) != F.col(b)).select(*edge).distinct(), "edges")
+    current, folder = _write(edges.where(F.col(a) != F.col(b)).select(*edge).distinct(), "edges")
     while True:
         ends = F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out")))
         nodes = current.select(F.inline(ends)).groupBy("node").agg(F.sum("out").alias("out"), F.min("out").alias("least"))
         # a star's leaf has one edge, to its center, which is no leaf
         if nodes.where("out > 1 or (out > 0 and least = 0)").isEmpty():
+            if _open:
+                _open[-1].append(folder)
             return current.select(F.col("u").alias("id"), F.col("v").alias("component"))
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        current = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        done = folder
+        current, folder = _write(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        remove(spark, [done])
