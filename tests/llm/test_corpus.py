@@ -234,6 +234,9 @@ def test_language_is_found_without_the_declared_one(docs, odd, empty):
     by = {r.doc_id: r for r in language.identify_language(odd, model, declared=F.col("lang"), hosts=(F.col("source"),)).collect()}
     assert by[1].language == "en" and not by[4].kept and not by[5].kept and by[6].language is None and by[6].probability == 0
     assert language.identify_language(empty, model).count() == 0
+    strange = [(1, "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια"), (2, "Все люди рождаются свободными и равными в своем достоинстве"), (3, "xkqj zvwq pfxz kjqv wzxq vbnq xzjk qqwx jzkv fqxw zvbk")]
+    frame = docs.sparkSession.createDataFrame(strange, "doc_id long, text string")
+    assert all(r.language is None and not r.kept and r.n_grams > 0 for r in language.identify_language(frame, model).collect())
     nothing = language.fit_language_model(empty, "text", "lang", "doc_id")
     assert nothing.languages == () and all(r.kept for r in language.identify_language(odd, nothing).collect())
 

@@ -84,10 +84,12 @@ def fit_language_model(
     return LanguageModel(languages, logp.astype(np.float32))
 
 
-def _likelihoods(model: LanguageModel, evidence: float, unknown: float):
+def _likelihoods(model: LanguageModel, evidence: float, unknown: float, novel: float):
     """Per row its number of trigrams, the chance that it is in any language of the model, and the posterior of the text
     alone among these, for even priors."""
     buckets, width = model.logp.shape
+    # against a text of no known language, in which any bucket is as likely as any other
+    against = np.logaddexp(model.logp + np.log(buckets) + np.log1p(-novel), np.log(novel)).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,13 +100,12 @@ def _likelihoods(model: LanguageModel, evidence: float, unknown: float):
                 sums = np.stack([np.bincount(row, model.logp[bucket, i], n) for i in range(width)], 1).astype(float)
                 weigh = np.minimum(1.0, evidence / np.maximum(grams, 1))
                 sums *= weigh[:, None]
-                top = sums.max(1, keepdims=True)
-                sums -= top
+                sums -= sums.max(1, keepdims=True)
                 parts = np.exp(sums)
-                # any bucket is as likely as any other in a text of no known language
-                other = top[:, 0] + np.log(parts.mean(1)) + grams * weigh * np.log(buckets)
-                known = 1.0 / (1.0 + unknown / (1.0 - unknown) * np.exp(-np.clip(other, -500.0, 500.0)))
                 parts /= parts.sum(1, keepdims=True)
+                odds = np.stack([np.bincount(row, against[bucket, i], n) for i in range(width)], 1) * weigh[:, None]
+                odds = np.logaddexp.reduce(odds, axis=1) - np.log(width)
+                known = 1.0 / (1.0 + unknown / (1.0 - unknown) * np.exp(-np.clip(odds, -500.0, 500.0)))
                 rest = [batch.column(i).slice(at, n) for i in range(batch.num_columns) if batch.schema.names[i] != "text__"]
                 names = [c for c in batch.schema.names if c != "text__"]
                 yield pa.RecordBatch.from_arrays(
@@ -128,6 +129,7 @@ def identify_language(
     prior_strength: float = 20.0,
     least: float = 0.5,
     unknown: float = 0.001,
+    novel: float = 0.2,
 ) -> DataFrame:
     """Language of each row, with its probability, from four kinds of evidence.
 
@@ -138,8 +140,10 @@ def identify_language(
     parent: the whole table for declared language and suffix, the next coarser level for a host. All these are grouped
     sums over all rows. The log ratios to the parents are added to the log-likelihoods and the table's own prior.
 
-    Beside the model's languages stands an unknown one, in which all buckets are as likely, with the prior `unknown`. Its
-    chance, from the text alone, is taken off the probability; where it is a half or more, the language is null.
+    Beside the model's languages stands an unknown one, in which all buckets are as likely, with the prior `unknown`. Against
+    it, every language gives a share `novel` of its trigrams to words that were not learned, so new words of a known
+    language are no strangers. The chance of the unknown one, from the text alone, is taken off the probability; where it
+    is a half or more, the language is null.
 
     Returns id, language, probability, text_language, n_grams, kept. A row is kept if its probability is `least` or
     more. Null, empty and letterless texts have no text evidence: language null, probability 0, not kept. A model
@@ -155,7 +159,7 @@ def identify_language(
         return named.select("doc_id", none.alias("language"), F.lit(0.0).alias("probability"), none.alias("text_language"), F.lit(0).cast("long").alias("n_grams"), F.lit(True).alias("kept"))
     kept_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema if f.name != "text__")
     q = [f"q{i}" for i in range(width)]
-    scored = named.mapInArrow(_likelihoods(model, evidence, unknown), f"{kept_types}, n_grams long, known__ double, " + ", ".join(f"{c} double" for c in q))
+    scored = named.mapInArrow(_likelihoods(model, evidence, unknown, novel), f"{kept_types}, n_grams long, known__ double, " + ", ".join(f"{c} double" for c in q))
     scored = stored(scored, "text_scores")
     told = scored.where("n_grams > 0")
 
