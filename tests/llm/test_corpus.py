@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 import corpus_pipeline
-from tradewind.llm import exact, language, licenses, mixing, neardup, packing, private, queries, rules, sites, toxicity
+from tradewind.llm import exact, language, licenses, mixing, neardup, packing, private, queries, rules, shared, sites, toxicity
 from tradewind.llm.shared import connected_components
 from tradewind.llm.words import shingle_sets
 
@@ -421,3 +421,19 @@ def test_pipeline_takes_odd_rows(spark, odd, empty):
         for name, stage in corpus_pipeline.STAGES:
             frame = spark.createDataFrame(out.collect(), out.schema) if (out := stage(spark, frame, SF)) is not None else frame
         assert isinstance(frame.schema, T.StructType)
+
+
+def test_filters_tell_ids_apart(spark, monkeypatch):
+    """With few bits most ids collide; the parts stay disjoint, whole and right."""
+    monkeypatch.setattr(shared, "BITMAPS", 1)
+    monkeypatch.setattr(shared, "BITS", 1024)
+    rows = [(i, str(i)) for i in range(3000)] + [(7, "again"), (None, "none")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ids = spark.createDataFrame([(i,) for i in range(0, 3000, 9)], "doc_id long")
+    outside, inside, unsure = ([tuple(r) for r in part.collect()] for part in shared.told_by_filters(frame, ids, "doc_id"))
+    assert Counter(outside + inside + unsure) == Counter(rows)
+    assert inside and all(i is not None and i % 9 == 0 for i, _ in inside)
+    assert outside and all(i is None or i % 9 for i, _ in outside)
+    trusted = {r.doc_id: r.trusted for r in rules.with_trust(frame, ids).collect()}
+    assert trusted == {i: i is not None and i % 9 == 0 for i, _ in rows}
+    assert rules.with_trust(frame, ids.where("false")).where("trusted").count() == 0

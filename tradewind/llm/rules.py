@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tradewind.llm.shared import id_bitmap, may_be_in, stored, text_or_empty
+from tradewind.llm.shared import stored, text_or_empty, told_by_filters
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,11 +45,11 @@ def grams(words: Column, buckets: int) -> Column:
 
 
 def with_trust(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
-    """`docs` with `trusted`: whether the id is among `trusted_ids` (one column, distinct). Most other rows are not shuffled."""
-    marked = may_be_in(docs, id_bitmap(trusted_ids, "doc_id"), "doc_id")
-    clear = marked.where(~F.col("_maybe")).drop("_maybe").withColumn("trusted", F.lit(False))
-    joined = marked.where("_maybe").drop("_maybe").join(trusted_ids.withColumn("trusted", F.lit(True)), "doc_id", "left")
-    return clear.unionByName(joined.withColumn("trusted", F.coalesce("trusted", F.lit(False))))
+    """`docs` with `trusted`: whether the id is among `trusted_ids` (one column, distinct). Few rows are shuffled."""
+    outside, inside, unsure = told_by_filters(docs, trusted_ids, "doc_id")
+    joined = unsure.join(trusted_ids.withColumn("trusted", F.lit(True)), "doc_id", "left")
+    told = outside.withColumn("trusted", F.lit(False)).unionByName(inside.withColumn("trusted", F.lit(True)))
+    return told.unionByName(joined.withColumn("trusted", F.coalesce("trusted", F.lit(False))))
 
 
 def ratio_weights(spread: DataFrame, buckets: int, alpha: float) -> DataFrame:

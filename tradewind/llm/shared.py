@@ -74,9 +74,13 @@ def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> D
     return out
 
 
-def id_bitmap(ids: DataFrame, column: str) -> DataFrame:
-    """At most BITMAPS rows (slice, bits): a one-hash filter of fixed size over the ids."""
-    h = F.pmod(F.xxhash64(F.col(column)), F.lit(BITMAPS * BITS))
+def _place(column: str, salt: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(column), *[F.lit(salt)] * (salt > 0)), F.lit(BITMAPS * BITS))
+
+
+def id_bitmap(ids: DataFrame, column: str, salt: int = 0) -> DataFrame:
+    """At most BITMAPS rows (slice, bits): a one-hash filter of fixed size over the ids. Another salt is another hash."""
+    h = _place(column, salt)
     return (
         ids.select(h.alias("h"))
         .groupBy(F.expr(f"h div {BITS}").alias("_slice"))
@@ -84,9 +88,9 @@ def id_bitmap(ids: DataFrame, column: str) -> DataFrame:
     )
 
 
-def may_be_in(df: DataFrame, bitmap: DataFrame, column: str) -> DataFrame:
-    """`df` with `_maybe`: false only where the id is certainly not among the bitmap's."""
-    h = F.pmod(F.xxhash64(F.col(column)), F.lit(BITMAPS * BITS))
+def may_be_in(df: DataFrame, bitmap: DataFrame, column: str, salt: int = 0) -> DataFrame:
+    """`df` with `_maybe`: false only where the id is certainly not among those of the bitmap, made with the same salt."""
+    h = _place(column, salt)
     byte = F.conv(F.hex(F.substring("_bits", F.expr(f"cast((_h % {BITS}) div 8 + 1 as int)"), 1)), 16, 10).cast("int")
     bit = F.expr("cast(_h % 8 as int)")
     return (
@@ -98,6 +102,21 @@ def may_be_in(df: DataFrame, bitmap: DataFrame, column: str) -> DataFrame:
     )
 
 
+def told_by_filters(df: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of `df` whose id is certainly not among `ids`, those whose id certainly is, and the rest, which need a join.
+
+    A first filter holds `ids`; a second one holds those ids of `df` that the first takes for one of them by mistake,
+    found by a join of ids alone. So a row meets a shuffle only if its id is such a mistake, or looks like one.
+    Rows without an id are never in the second part. `df` is read twice, once for its ids only.
+    """
+    marked = may_be_in(df, id_bitmap(ids, column), column)
+    likely = marked.where("_maybe").drop("_maybe")
+    mistaken = likely.select(column).join(ids, column, "left_anti")
+    marked_again = may_be_in(likely, id_bitmap(stored(mistaken, "mistaken_ids"), column, 1), column, 1)
+    inside = marked_again.where(~F.col("_maybe")).drop("_maybe")
+    return marked.where(~F.col("_maybe")).drop("_maybe"), inside, marked_again.where("_maybe").drop("_maybe")
+
+
 def with_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows of `df` whose id is among `ids` (one column, distinct). Most others never reach the shuffle."""
     return (
