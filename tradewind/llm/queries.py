@@ -182,5 +182,49 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+EXACT_SQL = """
+with texts as (
+  select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as normal from documents
+)
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size, doc_id = max(doc_id) over same as kept, sha256(normal) as text_sha256
+from texts window same as (partition by normal)
+"""
+
+WINDOWS_SQL = r"""
+with split as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+windows as (
+  select doc_id, unnest(range(1, len(words) - 18)) as spot, unnest([array_to_string(words[i:i + 19], ' ') for i in range(1, len(words) - 18)]) as said from split
+),
+later as (select doc_id, spot from (select *, row_number() over (partition by said order by doc_id, spot) as nr from windows) where nr > 1),
+removed as (select distinct doc_id, unnest(range(spot, spot + 20)) as spot from later),
+placed as (select doc_id, unnest(range(1, len(words) + 1)) as spot, unnest(words) as word from split),
+kept as (
+  select doc_id, string_agg(word, ' ' order by spot) as rest, count(*) as n_kept from placed anti join removed using (doc_id, spot) group by doc_id
+)
+select doc_id, len(words) as n_words, len(words) - coalesce(n_kept, 0) as n_removed, sha256(coalesce(rest, '')) as kept_sha256
+from split left join kept using (doc_id)
+"""
+
+NEAR_SQL = r"""
+with recursive split as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words
+  from documents
+),
+sets as (
+  select doc_id, case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+    else list_distinct([array_to_string(words[i:i + 4], ' ') for i in range(1, len(words) - 3)]) end as shingles from split
+),
+spread as (select doc_id, len(shingles) as n, unnest(shingles) as shingle from sets),
+links as (
+  select a.doc_id as x, b.doc_id as y from spread a join spread b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+),
+reach as (select doc_id as x, doc_id as y from sets union select reach.x, links.y from reach join links on reach.y = links.x)
+select doc_id, len(shingles) as n_shingles, min(y) as component_id, doc_id = min(y) as kept
+from sets join reach on reach.x = doc_id group by doc_id, n_shingles
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for operators whose result a query over whole tables can state; ids are expected to be unique, as their docstrings say."""
+    return {"op6_near_duplicates": NEAR_SQL, "op8_exact_duplicates": EXACT_SQL, "op12_repeated_windows": WINDOWS_SQL}
