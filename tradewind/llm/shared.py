@@ -125,10 +125,9 @@ def with_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 
 
 def without_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows of `df` whose id is not among `ids`; rows without an id stay. Most rows pass without a shuffle."""
-    marked = may_be_in(df, id_bitmap(ids, column), column)
-    clear = marked.where(~F.col("_maybe")).drop("_maybe")
-    return clear.unionByName(marked.where("_maybe").drop("_maybe").join(ids, column, "left_anti"))
+    """Rows of `df` whose id is not among `ids`; rows without an id stay. Few rows are shuffled."""
+    outside, _, unsure = told_by_filters(df, ids, column)
+    return outside.unionByName(unsure.join(ids, column, "left_anti"))
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, share: int = 1000) -> DataFrame:
