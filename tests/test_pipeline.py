@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from checks.queries import QUERIES
 from conftest import by, rows
+from tradewind.operators import clean
 from tradewind.plans import pipeline
 from tradewind.sources import readers, sinks
 from tradewind.sources.adapter import ADAPTER_PARAMS
@@ -223,3 +224,25 @@ def test_a_hot_product_is_split_by_the_skew_join(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_items_are_joined_before_anything_is_added_to_them(spark):
+    """What an item carries through the shuffles of its two joins: its own columns, then also those of its user."""
+    items = spark.createDataFrame(
+        [(1, 10, 5, 7, "Complete", 3.0), (2, 10, None, 7, None, 0.0), (3, 11, 5, None, "Returned", None)],
+        "id long, order_id long, user_id long, product_id long, status string, sale_price double",
+    ).withColumns({c: F.lit(None).cast("timestamp_ntz") for c in ("created_at", "shipped_at", "delivered_at")})
+    products = spark.createDataFrame(
+        [(7, 1.0, "a", "n", "b", 4.0, "d", 2)],
+        "id long, cost double, category string, name string, brand string, retail_price double, department string, distribution_center_id long",
+    )
+    users = spark.createDataFrame([(5, 30, "F", "x", "y", "z")], "id long, age long, gender string, country string, city string, traffic_source string")
+    df = clean.enrich_transactions(items, products, users)
+    above, *joins = df._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")
+    assert len(joins) == 2 and "product_id" in joins[0].split("\n")[0] and "user_id" in joins[1].split("\n")[0]
+    assert all(f"AS {c}#" in above and f"AS {c}#" not in "".join(joins) for c in ("margin", "month", "is_returned", "ship_days"))
+    assert df.columns[:3] == ["user_id", "product_id", "id"] and df.columns[-5:] == ["age", "gender", "country", "city", "user_traffic_source"]
+    found = {r.id: (r.user_id, r.product_name, r.gross_profit, r.margin, r.user_traffic_source, r.is_recognized) for r in df.collect()}
+    assert found == {
+        1: (5, "n", 2.0, 2.0 / 3.0, "z", True), 2: (None, "n", -1.0, None, None, False), 3: (5, None, None, None, "z", False),
+    }

@@ -98,9 +98,8 @@ def flag_items(order_items: DataFrame, params: Params = Params()) -> DataFrame:
     )
 
 
-def with_products(order_items: DataFrame, products: DataFrame) -> DataFrame:
-    """Item rows with product columns, profit and margin."""
-    product = products.select(
+def product_columns(products: DataFrame) -> DataFrame:
+    return products.select(
         F.col("id").alias("product_id"),
         F.col("cost").alias("product_cost"),
         "category",
@@ -110,16 +109,26 @@ def with_products(order_items: DataFrame, products: DataFrame) -> DataFrame:
         "department",
         F.col("distribution_center_id").alias("dc_id"),
     )
+
+
+def add_margin(items: DataFrame) -> DataFrame:
     profit = F.col("sale_price") - F.col("product_cost")
-    return order_items.join(product, "product_id", "left").withColumns(
-        {"gross_profit": profit, "margin": F.try_divide(profit, F.col("sale_price"))}
-    )
+    return items.withColumns({"gross_profit": profit, "margin": F.try_divide(profit, F.col("sale_price"))})
+
+
+def with_products(order_items: DataFrame, products: DataFrame) -> DataFrame:
+    """Item rows with product columns, profit and margin."""
+    return add_margin(order_items.join(product_columns(products), "product_id", "left"))
 
 
 def enrich_transactions(
     order_items: DataFrame, products: DataFrame, users: DataFrame, params: Params = Params()
 ) -> DataFrame:
-    """Every item with its product, its user and the flags. Analyses that need no user column skip that join."""
+    """Every item with its product, its user and the flags. Analyses that need no user column skip that join.
+
+    An item may be shuffled for each of the two joins, so it goes to the users first, whose columns are the narrower
+    ones, and what can be told from a row alone is added after both.
+    """
     user = users.select(
         F.col("id").alias("user_id"),
         "age",
@@ -128,4 +137,11 @@ def enrich_transactions(
         "city",
         F.col("traffic_source").alias("user_traffic_source"),
     )
-    return flag_items(with_products(order_items, products), params).join(user, "user_id", "left")
+    product = product_columns(products)
+    joined = order_items.join(user, "user_id", "left").join(product, "product_id", "left")
+    enriched = flag_items(add_margin(joined), params)
+    # The key of the last join stands first; user columns come last.
+    first = ["user_id", "product_id"]
+    last = [c for c in user.columns if c != "user_id"]
+    between = [c for c in enriched.columns if c not in first and c not in last]
+    return enriched.select(*first, *between, *last)

@@ -63,17 +63,19 @@ _ITEM_ID = (
 
 
 def _order_items(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    # Both ids of an item follow from its keys, so only the keys are shuffled.
     items = lineitem.selectExpr(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+        "(l_extendedprice - 900.0D) * (1.0D - l_discount) / 450.0D as sale_price",
+    )
+    return items.join(orders, items.l_orderkey == orders.order_id).selectExpr(
         f"{_ITEM_ID} as id",
-        "l_orderkey as order_id",
+        "order_id",
+        "user_id",
         "l_partkey as product_id",
         f"{_ITEM_ID} as inventory_item_id",
-        "(l_extendedprice - 900.0D) * (1.0D - l_discount) / 450.0D as sale_price",
-    )
-    order = orders.select("order_id", "user_id", "status", "created_at", "shipped_at", "delivered_at", "returned_at")
-    return items.join(order, "order_id").select(
-        "id", "order_id", "user_id", "product_id", "inventory_item_id", "status", "created_at", "shipped_at",
-        "delivered_at", "returned_at", "sale_price",
+        "status", "created_at", "shipped_at", "delivered_at", "returned_at",
+        "sale_price",
     )
 
 
