@@ -217,8 +217,12 @@ def _kmeans(t: Tables) -> DataFrame:
     return clusters.kmeans_clusters(t.enriched)
 
 
+def _cluster_costs(enriched: DataFrame) -> DataFrame:
+    return clusters.choose_cluster_count(durable(clusters.standardize(enriched)))[1]
+
+
 def _cluster_count(t: Tables) -> DataFrame:
-    return clusters.choose_cluster_count(durable(clusters.standardize(durable(t.enriched))))[1]
+    return _cluster_costs(durable(t.enriched))
 
 
 def _properties(row: DataFrame) -> DataFrame:
@@ -229,8 +233,9 @@ def _properties(row: DataFrame) -> DataFrame:
 
 def _cluster_count_checks(t: Tables) -> DataFrame:
     """What must hold for the costs of all candidate counts, whatever the starts."""
-    costs = durable(_cluster_count(t)).withColumn("_before", F.lag("inertia").over(Window.orderBy("k")))
-    everyone = t.enriched.agg(F.count("*")).scalar() * len(clusters.CLUSTER_FEATURES)
+    enriched = durable(t.enriched)
+    costs = durable(_cluster_costs(enriched)).withColumn("_before", F.lag("inertia").over(Window.orderBy("k")))
+    everyone = enriched.agg(F.count("*")).scalar() * len(clusters.CLUSTER_FEATURES)
     return _properties(
         costs.agg(
             F.count("*").alias("candidates"),

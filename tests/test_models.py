@@ -98,6 +98,25 @@ def test_one_pass_a_round(blobs, monkeypatch):
     assert all(a >= b for a, b in zip(passes[:-1], passes[1:-1]))
 
 
+def test_a_pass_holds_a_bounded_block_and_its_sums_are_exact(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(5000, 3)), [[9e4, -9e4, 0.0]] * 3, np.zeros((700, 3))])
+    vectors = spark.createDataFrame([(r.tolist(),) for r in x], "scaled array<double>").repartition(3).union(spark.createDataFrame([(None,)], "scaled array<double>"))
+    blocks = clusters.packed(vectors)
+    sizes = [r[0] for r in blocks.select(F.length("block") / 24).collect()]
+    assert sum(sizes) == len(x) and max(sizes) <= clusters.BLOCK_ROWS
+    runs = [x[:2], x[[4, 5, 6]], x[[7, 7]]]  # the second center of the last run is never the first of the nearest
+    found = clusters._sum_up(blocks, runs)
+    for nr, centers in enumerate(runs):
+        away = clusters._distances(x, centers)
+        own = away.argmin(axis=1)
+        for c in range(len(centers)):
+            parts = [int(p) for p in np.rint(away[own == c, c] * clusters.UNIT)]
+            n, sums, squares = found[nr, c]
+            assert n == (own == c).sum() and squares == float(sum(parts)) / clusters.UNIT
+            assert sums.tolist() == [float(sum(int(v) for v in np.rint(f * clusters.UNIT))) / clusters.UNIT for f in x[own == c].T]
+
+
 def test_kmeans_labels_every_user_in_order_of_value(enriched):
     clustered = durable(clusters.kmeans_clusters(enriched, k=5, restarts=2))
     assert clustered.count() == enriched.count() and clustered.where("cluster_label is null").count() == 0

@@ -23,6 +23,9 @@ PROFILE = ("Recency", "Frequency", "Monetary", "aov", "category_diversity", "ret
 CANDIDATE_COUNTS = range(2, 8)
 #: Sums of features are held in whole parts of this size.
 UNIT = float(1 << 24)
+#: Rows that are measured against all centers at a time, and rows of a task in a pass.
+BLOCK_ROWS = 1024
+TASK_ROWS = 1 << 18
 
 # The summing function travels with the task, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -138,39 +141,84 @@ def starting_centers(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
     return centers
 
 
-def _sum_up(vectors: DataFrame, runs: list[np.ndarray]) -> dict[tuple[int, int], tuple[int, np.ndarray, float]]:
+def packed(vectors: DataFrame) -> DataFrame:
+    """The arrays `scaled` as blocks of `BLOCK_ROWS` rows, dealt evenly to tasks: a pass then has no cost per row but its sums.
+
+    A task gets about `TASK_ROWS` rows, which bounds what its Python process holds.
+    """
+    size = BLOCK_ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float)
+            width = len(flat) // max(1, len(batch) - batch.column(0).null_count)
+            blocks = [flat[at : at + size * width].tobytes() for at in range(0, len(flat), size * max(1, width))]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], names=["block"])
+
+    tasks = max(vectors.sparkSession.sparkContext.defaultParallelism, vectors.count() // TASK_ROWS + 1)
+    return vectors.select("scaled").repartition(tasks).mapInArrow(run, "block binary")
+
+
+def _nearest_sums(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (run, cluster) and exact sums (run, cluster, feature and squared distance) of `centers` (run, cluster, feature).
+
+    Whole parts are split into two limbs, whose sums over a block are whole numbers that a double holds.
+    """
+    low = int(UNIT) - 1
+    runs, k, width = centers.shape
+    away, step = np.zeros((runs, k, len(x))), np.empty((runs, k, len(x)))
+    for i in range(width):
+        np.subtract(x[:, i], centers[:, :, i, None], out=step)
+        np.multiply(step, step, out=step)
+        away += step
+    best, own = away[:, 0].copy(), np.zeros((runs, len(x)), np.int64)
+    for c in range(1, k):
+        np.copyto(own, c, where=away[:, c] < best)
+        np.minimum(best, away[:, c], out=best)
+    member = (own[:, None] == np.arange(k)[:, None]).astype(float)
+
+    def added(parts: np.ndarray) -> np.ndarray:
+        high, rest = (np.matmul(member, limb.astype(float)).astype(np.int64) for limb in (parts >> 24, parts & low))
+        return (high << 24) + rest
+
+    features = added(np.rint(x * UNIT).astype(np.int64))
+    squares = added(np.rint(best * UNIT).astype(np.int64)[:, :, None])
+    return member.sum(axis=2).astype(np.int64), np.concatenate([features, squares], axis=2)
+
+
+def _sum_up(blocks: DataFrame, runs: list[np.ndarray]) -> dict[tuple[int, int], tuple[int, np.ndarray, float]]:
     """(run, cluster) to the number, sums and squared distances of the rows nearest to each center of each run.
 
-    One pass over `vectors` serves all runs. A task adds up whole numbers, parts of `UNIT`, so sums are exact and the order
-    in which tasks are merged or retried does not matter. The driver gets one row per center.
+    One pass over the `packed` blocks serves all runs. A task adds up whole numbers, parts of `UNIT`, so sums are exact and
+    the order in which tasks are merged or retried does not matter. The driver gets one row per center.
     """
     width = runs[0].shape[1]
     bounds = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
-    centers = np.vstack(runs)
-    unit = UNIT
+    alike = {}  # runs with the same number of centers are measured together
+    for nr, r in enumerate(runs):
+        alike.setdefault(len(r), []).append(nr)
+    groups = [
+        (np.concatenate([np.arange(bounds[nr], bounds[nr + 1]) for nr in numbers]), np.stack([runs[nr] for nr in numbers]))
+        for numbers in alike.values()
+    ]
+    total = int(bounds[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(centers), np.int64)
-        sums = np.zeros((len(centers), width + 1), np.int64)
+        n = np.zeros(total, np.int64)
+        sums = np.zeros((total, width + 1), np.int64)
         for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            parts = np.rint(x * unit).astype(np.int64)
-            away = _distances(x, centers)
-            for low, high in zip(bounds, bounds[1:]):
-                own = low + away[:, low:high].argmin(axis=1)
-                n += np.bincount(own, minlength=len(centers))
-                squares = np.rint(away[np.arange(len(x)), own] * unit).astype(np.int64)
-                order = np.argsort(own, kind="stable")
-                first = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1])) if len(own) else []
-                if len(own):
-                    each = np.column_stack([parts, squares])[order]
-                    sums[own[order][first]] += np.add.reduceat(each, first, axis=0)
-        columns = [pa.array(np.arange(len(centers))), pa.array(n), *[pa.array(c) for c in sums.T]]
+            for block in batch.column(0):
+                x = np.frombuffer(block.as_buffer(), float).reshape(-1, width)
+                for at, centers in groups:
+                    rows, parts = _nearest_sums(x, centers)
+                    n[at] += rows.reshape(-1)
+                    sums[at] += parts.reshape(-1, width + 1)
+        columns = [pa.array(np.arange(total)), pa.array(n), *[pa.array(c) for c in sums.T]]
         yield pa.RecordBatch.from_arrays(columns, names=["center", "n", *[f"s{i}" for i in range(width + 1)]])
 
     schema = "center long, n long, " + ", ".join(f"s{i} long" for i in range(width + 1))
     names = ["n", *[f"s{i}" for i in range(width + 1)]]
-    parts = vectors.select("scaled").mapInArrow(run, schema)
+    parts = blocks.mapInArrow(run, schema)
     out = {}
     for r in parts.groupBy("center").agg(*[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in names]).collect():
         nr = int(np.searchsorted(bounds, r["center"], "right")) - 1
@@ -202,10 +250,11 @@ def fit_kmeans(
     keys = [(k, start) for k in counts for start in range(restarts)]
     centers = {(k, start): starting_centers(sample, k, seed + start) for k, start in keys}
     rounds, moving = dict.fromkeys(keys, 0), list(keys)
+    blocks = durable(packed(vectors))
     for _ in range(max_iter):
         if not moving:
             break
-        found = _sum_up(vectors, [centers[key] for key in moving])
+        found = _sum_up(blocks, [centers[key] for key in moving])
         still = []
         for nr, key in enumerate(moving):
             new = centers[key].copy()
@@ -217,7 +266,7 @@ def fit_kmeans(
                 still.append(key)
             centers[key], rounds[key] = new, rounds[key] + 1
         moving = still
-    found = _sum_up(vectors, [centers[key] for key in keys])
+    found = _sum_up(blocks, [centers[key] for key in keys])
     costs = {key: float(sum(found[nr, c][2] for c in range(key[0]))) for nr, key in enumerate(keys)}
     best = {k: min((costs[k, start], start) for start in range(restarts))[1] for k in counts}
     return [Fit(k, best[k], centers[k, best[k]], costs[k, best[k]], rounds[k, best[k]], (k, best[k]) not in moving) for k in counts]
