@@ -180,3 +180,14 @@ def test_inventory_days_end_at_the_cutoff_even_for_sold_units(spark):
     assert got[1] == (1, 10, 0.0, 0.0)
     assert got[2][:3] == (0, 10, 73.0) and abs(got[2][3] - 0.5) < 1e-12
     assert got[3][1] == 0 and got[4][1] is None
+
+
+def test_the_report_builds_the_fact_table_once(tables, monkeypatch):
+    """The fact table stands in no section's plan: its rows and value are counted before, in one pass."""
+    fact = tables.fact
+    passes, once = [], quality.fact_totals
+    monkeypatch.setattr(quality, "fact_totals", lambda fact: passes.append(fact) or once(fact))
+    report = quality.quality_report(tables.raw, fact, processed={"fact_transactions": fact})
+    assert passes == [fact] and "GMV_All_Status" not in report._jdf.queryExecution().analyzed().toString()
+    held = report.where(F.col("section") == "processed_row_counts")
+    assert by(held, "check", "value") == {"fact_transactions": float(fact.count())}

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tradewind.functions.durable import durable
 from tradewind.functions.numeric import flag_total, ratio0, round_even, total
 from tradewind.functions.ranking import SLICE_ROWS, split_long_groups
 from tradewind.functions.reshape import to_checks, with_row
@@ -334,12 +335,17 @@ def bot_candidates(events: DataFrame, params: Params = Params()) -> DataFrame:
     )
 
 
+def fact_totals(fact: DataFrame) -> DataFrame:
+    """Rows and value of the fact table as one row."""
+    return fact.agg(F.count("*").alias("rows"), total("GMV_All_Status").alias("gmv"))
+
+
 def scope_reconciliation(
-    orders: DataFrame, order_items: DataFrame, fact: DataFrame, params: Params = Params()
+    orders: DataFrame, order_items: DataFrame, fact: DataFrame, params: Params = Params(), kept: DataFrame | None = None
 ) -> DataFrame:
     """How rows and value shrink from the raw items to the fact table.
 
-    Items are counted per order before the orders are looked up.
+    Items are counted per order before the orders are looked up. `kept` has the `fact_totals` where they are known already.
     """
     low = F.col("sale_price") < params.price_floor
     dated = (
@@ -357,8 +363,7 @@ def scope_reconciliation(
         F.coalesce(F.sum(F.col("n") * F.col("copies")), F.lit(0)).alias("eligible"),
         total("value").alias("gmv"),
     )
-    kept = fact.agg(F.count("*").alias("rows"), total("GMV_All_Status").alias("gmv"))
-    row = with_row(items, kept, "kept").select(
+    row = with_row(items, fact_totals(fact) if kept is None else kept, "kept").select(
         F.col("rows").alias("raw_order_item_rows"),
         F.col("low").alias("sub_1_price_rows_excluded"),
         (F.col("rows") - F.col("low")).alias("rows_after_price_filter"),
@@ -449,8 +454,10 @@ def quality_report(
     """All counts as (section, check, value).
 
     The profile of a table and the rules on its single rows come from one pass. `processed` has the tables of the star schema,
-    whose rows are counted; `rfm` has the scored users. `fact` is the fact table that the scope is reconciled with.
+    whose rows are counted; `rfm` has the scored users. `fact` is the fact table that the scope is reconciled with; where it
+    is one of `processed`, it is built once for its rows and its value.
     """
+    kept = durable(fact_totals(fact))
     keys = foreign_key_checks(raw)
     key_cells = F.array(
         *[
@@ -493,11 +500,12 @@ def quality_report(
         session_time_checks(raw.events),
         keys.select(F.inline(key_cells)),
         item_checks(items),
-        scope_reconciliation(raw.orders, raw.order_items, fact, params),
+        scope_reconciliation(raw.orders, raw.order_items, fact, params, kept),
         to_checks(totals, "result_row_counts"),
     ]
     if rfm is not None:
         sections.append(to_checks(rfm.agg(F.count("*").alias("rfm_users")), "result_row_counts"))
     for name, df in (processed or {}).items():
-        sections.append(to_checks(df.agg(F.count("*").alias(name)), "processed_row_counts"))
+        row = kept.select(F.col("rows").alias(name)) if df is fact else df.agg(F.count("*").alias(name))
+        sections.append(to_checks(row, "processed_row_counts"))
     return union(sections)
