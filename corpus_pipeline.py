@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tradewind.llm import exact, language, mixing, neardup, packing, queries
-from tradewind.llm.shared import settled
+from tradewind.llm.shared import batches_by_bytes, settled
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is settled. The model is fitted on labelled rows of the stage's own input."""
+    batches_by_bytes(spark)
     model = language.fit_language_model(docs, "text", "lang", "doc_id")
     return language.drop_unidentified(docs, model, declared=F.col("lang"), hosts=(F.col("source"),))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    batches_by_bytes(spark)
     return exact.drop_exact_duplicates(docs, exact.half_of())
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each connected group of near copies."""
+    batches_by_bytes(spark)
     return neardup.drop_near_duplicates(docs)
 
 
@@ -31,6 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all sequences."""
+    batches_by_bytes(spark)
     return packing.pack_sequences(docs, **queries.TOKENIZER)
 
 

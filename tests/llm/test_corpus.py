@@ -437,3 +437,30 @@ def test_filters_tell_ids_apart(spark, monkeypatch):
     trusted = {r.doc_id: r.trusted for r in rules.with_trust(frame, ids).collect()}
     assert trusted == {i: i is not None and i % 9 == 0 for i, _ in rows}
     assert rules.with_trust(frame, ids.where("false")).where("trusted").count() == 0
+
+
+def test_pipeline_hands_texts_to_python_by_bytes(spark, monkeypatch):
+    """A batch that is too large ends the stage; 40 texts are over 1 MB, one batch by the number of rows."""
+    monkeypatch.setattr(shared, "BATCH_BYTES", 1 << 18)
+    most = 2 * shared.BATCH_BYTES
+
+    def watched(run):
+        def checked(batches):
+            def small():
+                for batch in batches:
+                    assert batch.nbytes <= most, f"a batch of {batch.nbytes} bytes"
+                    yield batch
+
+            return run(small())
+
+        return checked
+
+    for module, name in ((language, "_likelihoods"), (neardup, "_features"), (packing, "_pack")):
+        monkeypatch.setattr(module, name, lambda *a, make=getattr(module, name): watched(make(*a)))
+    monkeypatch.setattr(exact, "_digests", watched(exact._digests))
+    words = "the a of and to in is it on as with for that was by".split()
+    rows = [(i, " ".join(f"{words[(i * j) % 15]} w{i}x{j}" for j in range(3400)), "en", "web") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1)
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        assert stage(spark, docs, SF).count() >= 40, name

@@ -11,6 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Slices and 32,768-bit bitmaps of `id_bitmap`: 4 MB in all, whatever the number of ids.
 BITMAPS, BITS = 1024, 32768
+#: Texts that a Python worker gets at a time; one longer text comes alone.
+BATCH_BYTES = 2 << 20
+
+
+def batches_by_bytes(spark: SparkSession) -> None:
+    """From now on texts go to Python workers in batches of BATCH_BYTES, whatever the number of rows.
+
+    A batch stands in the executor outside its heap, several times over while it grows, and in the worker, and what either
+    has once taken it keeps for the stages that follow.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
